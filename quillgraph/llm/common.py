@@ -1,10 +1,7 @@
-"""What the operators of this package share: tables, shared storage, gapless numbering."""
+"""What the operators of this package share: tables and gapless numbering."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,37 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none (tests in local mode) one is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='quillgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-class Kept:
-    """Tables written to the shared folder, so that later jobs neither repeat the work nor carry its lineage.
-
-    A lost executor loses nothing of them. ``drop`` removes a table once nothing reads it any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(doc_id: str, divisor: int):
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(divisor))

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.langid import op3_language_id
+from quillgraph.llm.neardup import op10_ngram_jaccard_join
 from quillgraph.llm.secrets import op9_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
