@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm.decontaminate import op2_decontamination
 from quillgraph.llm.langid import op3_language_id
 from quillgraph.llm.lm import op7_lm_score
+from quillgraph.llm.mixing import op6_pfair_mix
 from quillgraph.llm.neardup import op10_ngram_jaccard_join
 from quillgraph.llm.sharding import op8_balanced_shards
 from quillgraph.llm.secrets import op9_secret_scan
@@ -16,6 +17,7 @@ from quillgraph.llm.secrets import op9_secret_scan
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op6_pfair_mix": op6_pfair_mix,
     "op7_lm_score": op7_lm_score,
     "op8_balanced_shards": op8_balanced_shards,
     "op9_secret_scan": op9_secret_scan,
