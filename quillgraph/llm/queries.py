@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.ann import op1_hnsw
 from quillgraph.llm.decontaminate import op2_decontamination
 from quillgraph.llm.langid import op3_language_id
 from quillgraph.llm.lm import op7_lm_score
@@ -15,6 +16,7 @@ from quillgraph.llm.sharding import op8_balanced_shards
 from quillgraph.llm.secrets import op9_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw": op1_hnsw,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op6_pfair_mix": op6_pfair_mix,
