@@ -210,8 +210,8 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH,
     All queries meet all shards, in blocks: a task holds one shard and one block of queries.
     """
     blocks = max(1, -(-queries.count() // query_block))
-    at = indexed.select("dim", "shard").distinct()
-    asked = queries.select("query_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).join(at, "dim")
+    at = indexed.select(F.col("dim").alias("qdim"), F.col("shard").alias("qshard")).distinct()
+    asked = queries.select("query_id", "q", F.size("q").alias("qdim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qblock")).join(at, "qdim")
     held = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key: tuple, shard: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
@@ -233,8 +233,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH,
                 out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), ok.sum(1)), "node": ids[found[ok]], "score": score[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    by = ["dim", "shard", "block"]
-    return held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, "query_id long, node long, score double")
+    return held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("qdim", "qshard", "qblock")).applyInPandas(run, "query_id long, node long, score double")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH, shard_rows: int = SHARD_ROWS) -> DataFrame:
