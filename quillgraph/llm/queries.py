@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.ann import op1_hnsw
 from quillgraph.llm.decontaminate import op2_decontamination
+from quillgraph.llm.htmltext import op4_html_extraction
 from quillgraph.llm.langid import op3_language_id
 from quillgraph.llm.lm import op7_lm_score
 from quillgraph.llm.mixing import op6_pfair_mix
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op6_pfair_mix": op6_pfair_mix,
+    "op4_html_extraction": op4_html_extraction,
     "op7_lm_score": op7_lm_score,
     "op8_balanced_shards": op8_balanced_shards,
     "op9_secret_scan": op9_secret_scan,
