@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,10 +248,17 @@ def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows, all columns, whose language is known with at least ``min_score``."""
-    names = docs.columns
-    judged = identified(docs, model, names)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*names)
+    """The rows, all columns as they are, whose text has a letter and whose language is told with at least ``min_score``."""
+    letter = regex.compile(r"\p{L}")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column("text").to_pylist()
+            pred, score = model.predict(texts)
+            keep = [t is not None and p != "und" and s >= min_score and letter.search(t) is not None for t, p, s in zip(texts, pred, score, strict=True)]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
