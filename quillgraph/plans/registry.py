@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillgraph.plans import views
+from quillgraph.plans.view_sql import with_views
+from quillgraph.sources.driver_tables import statements
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _view_query(name: str) -> Query:
+    return lambda spark, sf_dir: views.Views(statements(spark, sf_dir))[name]
+
+
+for _name in views.NAMES:
+    QUERIES[f"view_{_name}"] = _view_query(_name)
+    SQL[f"view_{_name}"] = with_views(f"SELECT * FROM {_name}")
+for _name in views.EMPTY:
+    QUERIES[f"view_{_name}"] = _view_query(_name)
