@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import views
+from quillgraph.plans import graph_queries, mapping_queries, views
 from quillgraph.plans.view_sql import with_views
 from quillgraph.sources.driver_tables import statements
 
@@ -25,3 +25,7 @@ for _name in views.NAMES:
     SQL[f"view_{_name}"] = with_views(f"SELECT * FROM {_name}")
 for _name in views.EMPTY:
     QUERIES[f"view_{_name}"] = _view_query(_name)
+
+for _module in (graph_queries, mapping_queries):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

@@ -40,7 +40,7 @@ SPEC = (
             (_id("_:ax", "c_custkey"), "oio:hasDbXref", None, "c_mktsegment", _STRING),
         ),
         _rows("customer", (_id("customer", "c_custkey"), "owl:deprecated", None, "'true'", _BOOLEAN), where="c_acctbal < 0"),
-        _rows("customer", (_id("customer", "c_custkey"), "rdfs:label", None, "concat(c_name, ' ')", _STRING), where="c_custkey % 10 = 3"),
+        _rows("customer", (_id("customer", "c_custkey"), "rdfs:label", None, "concat(c_name, ' ')", _STRING), where="c_mktsegment = 'BUILDING'"),
         _rows(
             "supplier",
             (_id("supplier", "s_suppkey"), "rdf:type", "'owl:NamedIndividual'", None, None),
