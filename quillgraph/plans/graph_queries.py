@@ -40,9 +40,10 @@ _UP = {
     "nodes": "SELECT subject AS id FROM tree UNION SELECT object FROM tree",
     "up": "SELECT id AS subject, id AS object FROM nodes UNION SELECT t.subject, u.object FROM tree t JOIN up u ON t.object = u.subject",
     "walk": "SELECT subject, object, 1 AS depth FROM tree UNION SELECT t.subject, w.object, w.depth + 1 FROM tree t JOIN walk w ON t.object = w.subject",
-    "rel": "SELECT DISTINCT b.subject, e.predicate, a.object FROM edge e JOIN up b ON b.object = e.subject JOIN up a ON a.subject = e.object WHERE e.predicate <> 'rdfs:subClassOf'",
+    "rel": "SELECT DISTINCT b.subject, e.predicate, a.object FROM edge e JOIN upall b ON b.object = e.subject JOIN upall a ON a.subject = e.object WHERE e.predicate <> 'rdfs:subClassOf'",
     "located": "SELECT subject, object FROM rel WHERE predicate = 'rel:located_in' UNION SELECT r.subject, l.object FROM rel r JOIN located l ON r.object = l.subject WHERE r.predicate = 'rel:located_in'",
     "full_rel": "SELECT subject, predicate, object FROM rel UNION SELECT subject, 'rel:located_in', object FROM located",
+    "upall": "SELECT subject, object FROM up UNION SELECT id, id FROM every",
     "every": "SELECT subject AS id FROM edge UNION SELECT object FROM edge",
     "redundant": "SELECT subject, predicate, object FROM full_rel UNION SELECT subject, 'rdfs:subClassOf', object FROM up UNION SELECT id, 'rdfs:subClassOf', id FROM every",
     "strict": "SELECT a.subject, a.object FROM redundant a WHERE a.predicate = 'rdfs:subClassOf' AND a.subject <> a.object AND NOT EXISTS (SELECT 1 FROM redundant b WHERE b.predicate = 'rdfs:subClassOf' AND b.subject = a.object AND b.object = a.subject)",
