@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,20 +176,19 @@ def scan(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
     wanted = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates()
     passes = -(-wanted.count() // items_a_pass)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word int"
+    fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("word", pa.int32())])
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = docs.sparkSession.createDataFrame([], schema)
     for k in range(passes):
         mine = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
         index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in mine.collect()), threshold, overlap))
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                rows = [(i, *leak) for i, t in zip(part["doc_id"], part["text"], strict=True) for leak in index.value.leaks(t)]
-                got = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word"])
-                got["doc_id"] = got["doc_id"].astype("Int64") if len(got) else got["doc_id"]
-                yield got
+                rows = [(i, *leak) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for leak in index.value.leaks(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x.type) for k, x in enumerate(fields)], schema=fields)
 
-        out = out.unionByName(given.mapInPandas(run, schema))
+        out = out.unionByName(given.mapInArrow(run, schema))
     return out
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -357,15 +357,14 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string", "n_chars long"])
     given = pages.select(*[F.col(f.name) for f in fields], F.col(html_col).alias("_html"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Field(weights, link)
         for part in parts:
-            out = part[[f.name for f in fields]].copy()
-            out["text"] = [main_text(h, here) for h in part["_html"]]
-            out["n_chars"] = out["text"].map(len)
-            yield out
+            texts = [main_text(h, here) for h in part.column("_html").to_pylist()]
+            columns = [part.column(f.name) for f in fields] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "text", "n_chars"])
 
-    return given.mapInPandas(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -235,16 +235,16 @@ def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     given = docs.select(*[F.col(f.name) for f in fields], F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters"), F.col("text").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            pred, score = model.predict(list(part["_text"].where(part["_text"].notna(), None)))
-            none = ~part["_letters"].to_numpy(bool)
-            out = part[[f.name for f in fields]].copy()
-            out["lang_pred"] = np.where(none, "und", np.array(pred, object))
-            out["score"] = np.where(none, 0.0, score)
-            yield out
-
-    return given.mapInPandas(run, schema)
+            pred, score = model.predict(part.column("_text").to_pylist())
+            letters = part.column("_letters").to_pylist()
+            told = [p if has else "und" for p, has in zip(pred, letters, strict=True)]
+            sure = [float(s) if has else 0.0 for s, has in zip(score, letters, strict=True)]
+            columns = [part.column(f.name) for f in fields] + [pa.array(told, pa.string()), pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "lang_pred", "score"])
+
+    return given.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:

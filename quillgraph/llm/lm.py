@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,17 +97,17 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, chunks: int, held: int,
         F.col(text_col).alias("t"),
     )
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for part in parts:
-            ids = part["id"].astype("Int64").astype(object).where(part["id"].notna(), None)
-            rows = []
-            for c, at in part.groupby("chunk").indices.items():
-                body = (list(ids.iloc[at]), list(part["learn"].iloc[at]), list(part["held"].iloc[at]), list(part["t"].iloc[at]))
-                rows.append((c, press.compress(pickle.dumps(body, protocol=5))))
-            yield pd.DataFrame(rows, columns=["chunk", "pack"])
-
-    return given.mapInPandas(run, "chunk int, pack binary")
+            bodies: dict[int, tuple[list, ...]] = {}
+            for c, *row in zip(*(part.column(k).to_pylist() for k in ("chunk", "id", "learn", "held", "t")), strict=True):
+                for column, x in zip(bodies.setdefault(c, ([], [], [], [])), row, strict=True):
+                    column.append(x)
+            packs = [press.compress(pickle.dumps(b, protocol=5)) for b in bodies.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(bodies), pa.int32()), pa.array(packs, pa.binary())], ["chunk", "pack"])
+
+    return given.mapInArrow(run, "chunk int, pack binary")
 
 
 def _unpacked(packs: pd.Series) -> tuple[list, np.ndarray, np.ndarray, list]:

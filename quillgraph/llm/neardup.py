@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,22 +85,22 @@ def set_id(s: np.ndarray) -> int:
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """``doc``, ``n`` (set size), ``node`` (the set's hash, null for an empty set), ``sketch``, ``keys``."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    many = pa.list_(pa.int64())
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = bands(percent, 1 << 16)
         for part in parts:
             rows = []
-            for _, _, texts in batches(list(part["_t"])):
+            for _, _, texts in batches(part.column("_t").to_pylist()):
                 for s in shingle_sets(texts, words):
                     while len(s) >= low[-1]:
                         low = bands(percent, 2 * low[-1])
                     rows.append((len(s), set_id(s), narrow_sketch(s), block_keys(s, percent, low)) if len(s) else (0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n", "node", "sketch", "keys"])
-            out["node"] = out["node"].astype("Int64")
-            out.insert(0, "doc", part["_id"].astype("Int64").to_numpy() if part["_id"].isna().any() else part["_id"].to_numpy())
-            yield out
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), many, many))]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), *columns], ["doc", "n", "node", "sketch", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    return given.mapInPandas(run, "doc long, n long, node long, sketch array<long>, keys array<long>")
+    return given.mapInArrow(run, "doc long, n long, node long, sketch array<long>, keys array<long>")
 
 
 def _held(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:

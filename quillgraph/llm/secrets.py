@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,18 +246,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     """Every document with its spans: ``id_col``, ``found array<struct<kind, start, end>>``."""
     automaton = compile_rules([r.gate for r in rules])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, found = linked(automaton)
         exact = [(r, re.compile(r.exact)) for r in rules]
         for part in parts:
             out = []
-            for t in part["_t"]:
+            for t in part.column("_t").to_pylist():
                 kinds = gates_in(t.encode("utf-8", "surrogatepass"), rows, found) if t else set()
                 out.append([{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in spans_of(t, kinds, exact)] if kinds else [])
-            yield pd.DataFrame({"_id": part["_id"], "found": out})
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(out, spans)], ["_id", "found"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    return kept.mapInPandas(run, "_id long, found array<struct<kind:string,start:int,end:int>>").withColumnRenamed("_id", id_col)
+    return kept.mapInArrow(run, "_id long, found array<struct<kind:string,start:int,end:int>>").withColumnRenamed("_id", id_col)
 
 
 def _joined(spans):
