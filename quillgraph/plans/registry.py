@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import graph_queries, mapping_queries, qc_queries, sparql_queries, views
+from quillgraph.plans import axiom_queries, graph_queries, mapping_queries, qc_queries, sparql_queries, views
 from quillgraph.plans.view_sql import with_views
 from quillgraph.sources.driver_tables import statements
 
@@ -26,6 +26,6 @@ for _name in views.NAMES:
 for _name in views.EMPTY:
     QUERIES[f"view_{_name}"] = _view_query(_name)
 
-for _module in (graph_queries, mapping_queries, sparql_queries, qc_queries):
+for _module in (graph_queries, mapping_queries, sparql_queries, qc_queries, axiom_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
