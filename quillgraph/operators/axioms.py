@@ -79,8 +79,7 @@ def remove(axioms: DataFrame, objects: DataFrame, trim: bool = False) -> DataFra
 
 def told_edges(axioms: DataFrame) -> DataFrame:
     """(``subject``, ``object``) of subclass axioms between named classes."""
-    pair = F.from_json(F.col("body"), "array<string>")
-    rows = axioms.filter("type = 'SubClassOf'").select(pair[1].alias("subject"), pair[2].alias("object"))
+    rows = axioms.filter("type = 'SubClassOf'").select(F.get_json_object("body", "$[1]").alias("subject"), F.get_json_object("body", "$[2]").alias("object"))
     return rows.filter(~F.col("subject").startswith("[") & ~F.col("object").startswith("["))
 
 
@@ -168,8 +167,7 @@ def reduce(axioms: DataFrame) -> DataFrame:
     strict = s.join(s.select(F.col("object").alias("subject"), F.col("subject").alias("object")), ["subject", "object"], "left_anti")
     told = told_edges(axioms)
     over = told.withColumnRenamed("object", "m").join(strict.withColumnRenamed("subject", "m"), "m").select("subject", "object").distinct()
-    pair = F.from_json(F.col("body"), "array<string>")
-    keyed = axioms.withColumns({"_s": F.when(F.col("type") == "SubClassOf", pair[1]), "_o": F.when(F.col("type") == "SubClassOf", pair[2])})
+    keyed = axioms.withColumns({c: F.when(F.col("type") == "SubClassOf", F.get_json_object("body", f"$[{i}]")) for c, i in (("_s", 1), ("_o", 2))})
     return keyed.join(over.select(F.col("subject").alias("_s"), F.col("object").alias("_o")), ["_s", "_o"], "left_anti").select(*COLUMNS)
 
 
@@ -300,7 +298,8 @@ def mireot(axioms: DataFrame, lower: DataFrame, upper: DataFrame | None = None,
         keep = keep.join(up.join(roots, "object", "left_semi").select(F.col("subject").alias("id")).distinct(), "id", "left_semi")
     if branch is not None:
         keep = keep.union(up.join(branch.select(F.col("id").alias("object")), "object", "left_semi").select(F.col("subject").alias("id"))).distinct()
-    hierarchy = judged(axioms.filter("type = 'SubClassOf' and body not like '%[%[%'"), keep)
+    plain = [~F.get_json_object("body", f"$[{i}]").startswith("[") for i in (1, 2)]
+    hierarchy = judged(axioms.filter(F.col("type") == "SubClassOf").filter(plain[0] & plain[1]), keep)
     subject = F.when(F.col("type") == "Declaration", F.get_json_object("body", "$[1][1]")).otherwise(F.get_json_object("body", "$[2]"))
     about = axioms.filter(F.col("type").isin("AnnotationAssertion", "Declaration")).withColumn("_s", subject)
     return hierarchy.unionByName(about.join(keep.withColumnRenamed("id", "_s"), "_s", "left_semi").select(*COLUMNS))

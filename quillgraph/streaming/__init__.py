@@ -1 +1 @@
-"""Sub-package of quillgraph."""
+"""Structured Streaming: what a batch operator computes, kept up to date."""
