@@ -168,7 +168,7 @@ def test_views_on_made_rows(spark):
     assert got(v["trailing_whitespace_problem"]) == {("A:1", "rdfs:label", " one")} and fixed["trailing_whitespace_problem"].isEmpty()
     assert {r["value"] for r in v["node_with_two_labels_problem"].collect()} == {" one", "uno"}
     assert got(v["axiom_dbxref_annotation"].select("subject", "value", "annotation_value")) == {("A:1", "uno", "ref:1")}
-    assert len(NAMES) == 71 and v["owl_axiom"].columns[0] == "id"
+    assert len(NAMES) == 82 and v["owl_axiom"].columns[0] == "id"
 
 
 def test_sparql(spark):
