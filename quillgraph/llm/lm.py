@@ -33,7 +33,7 @@ from quillgraph.llm.tokens import batches, mix, word_hashes
 from quillgraph.session import Kept
 
 MU = 30.0
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN = np.uint64(0x14057B7EF767814F)
 
@@ -141,8 +141,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         tokens, begins = sequences(texts)
         taught = np.repeat(learn, np.diff(begins))
         blobs = []
-        for keys in (tokens, bigrams(tokens, begins)):
-            have, number = np.unique(keys, return_inverse=True)
+        for of in (lambda: tokens, lambda: bigrams(tokens, begins)):
+            have, number = np.unique(of(), return_inverse=True)
             count = np.bincount(number[taught], minlength=len(have)).astype(np.uint32)
             order, sizes = _asked(have, shards)
             cut = np.concatenate(([0], np.cumsum(sizes)))
@@ -180,8 +180,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         tokens, begins = sequences(texts)
         told = told.sort_values("shard")
         got = []
-        for keys, name in ((tokens, "wc"), (bigrams(tokens, begins), "pc")):
-            have, number = np.unique(keys, return_inverse=True)
+        for of, name in ((lambda: tokens, "wc"), (lambda: bigrams(tokens, begins), "pc")):
+            have, number = np.unique(of(), return_inverse=True)
             order, _ = _asked(have, shards)
             counts = np.empty(len(have))
             counts[order] = np.concatenate([np.frombuffer(b, np.uint64 if wide else np.uint32) for b, wide in zip(told[name], told[name + "8"], strict=True)])
