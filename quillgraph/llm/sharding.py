@@ -1,10 +1,12 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
-Documents with equal texts are linked. Every linked document starts in a shard of a hash of its id. In a
-round, each link's documents tally the shards they are in; a document wants the shard with most of its neighbours among
-those with room, if it has more of them than its own, and a shard admits as many as its quota leaves room for,
-link by link. Documents without a link have no edge to cut: at the end they fill every shard up to its
-exact size. A link larger than a shard ends up in as few shards as its moves could bring it to.
+Documents with equal texts are linked. Linked documents are first dealt out over the shards in a hashed order. A link's
+documents are alike, so the rounds move counts: how many of a link's documents each shard has. In a round each link
+orders its shards by how many it has there (ties: first those with room, then by a hash) and wants to fill the first ones with what lies in the last. In odd
+rounds it counts on the shards' free room, in even rounds on whole shards. Of those that want to go from one shard to another
+as many are admitted as want to go back (a swap), and beyond that as the target's quota leaves room for. Every move
+raises the number of linked pairs in one shard, so the rounds come to an end: when neither kind of round
+admits a move. Documents without a link have no edge to cut: at the end they fill every shard up to its exact size.
 
 Only ids, sizes and hashes move between machines; texts are read once. A link with a third of all rows is
 tallied before any shuffle, and numbers are given inside small buckets, so no task holds a whole link or shard.
@@ -12,14 +14,15 @@ tallied before any shuffle, and numbers are given inside small buckets, so no ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import numbered, table
 from quillgraph.session import Kept
 
 BUCKET_ROWS = 4096
-MAX_ROUNDS = 8
+#: Propagation ends when it has settled; a table that takes more rounds raises.
+MAX_ROUNDS = 500
 
 
 def _bucket(rows: int, *cols):
@@ -30,13 +33,53 @@ def _lookup(values: list[int], at):
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), at.cast("int") + 1)
 
 
+def _wishes(tally: DataFrame, free: list[int], whole: bool) -> DataFrame:
+    """``link``, ``shard``, ``n`` and ``want``: what a link would have in each of its shards if it got its wish.
+
+    ``free``: each shard's room or, with ``whole``, its size.
+    """
+    best = Window.partitionBy("link").orderBy(F.desc("n"), F.desc(_lookup(free, F.col("shard")) > 0), F.xxhash64("link", "shard"), "shard")
+    most = F.greatest("n", _lookup(free, F.col("shard")) + (F.lit(0) if whole else F.col("n")))
+    wish = tally.withColumn("all", F.sum("n").over(Window.partitionBy("link"))).withColumn("most", most).filter("n < all")
+    before = F.coalesce(F.sum("most").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wish = wish.withColumn("want", F.greatest(F.lit(0), F.least("most", F.col("all") - before))).withColumn("rank", F.row_number().over(best))
+    return wish.filter("want <> n").select("link", "shard", "n", "want", "rank")
+
+
+def _moves(wish: DataFrame) -> DataFrame:
+    """``link``, ``from``, ``to`` and ``m``: the last shards' documents go to the first shards that want some."""
+    first, last = (Window.partitionBy("link").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("rank"), F.desc("rank")))
+    asks = wish.filter("want > n").select("link", F.col("shard").alias("to"), (F.col("want") - F.col("n")).alias("k"), "rank").withColumn("end", F.sum("k").over(first))
+    gives = wish.filter("want < n").select("link", F.col("shard").alias("from"), (F.col("n") - F.col("want")).alias("j"), "rank").withColumn("until", F.sum("j").over(last))
+    m = F.least("end", "until") - F.greatest(F.col("end") - F.col("k"), F.col("until") - F.col("j"))
+    return asks.drop("rank").join(gives.drop("rank"), "link").select("link", "from", "to", m.alias("m")).filter("m > 0")
+
+
+def _admitted(moves: DataFrame, room: list[int], rows: int) -> DataFrame:
+    """Those of ``moves`` that swaps and ``room`` allow."""
+    asked = moves.groupBy("from", "to").agg(F.sum("m").alias("asked"))
+    back = asked.select(F.col("from").alias("to"), F.col("to").alias("from"), F.col("asked").alias("back"))
+    asked = asked.join(back, ["from", "to"], "left").withColumn("swap", F.least("asked", F.coalesce("back", F.lit(0)))).withColumn("more", F.col("asked") - F.col("swap"))
+    ahead = F.coalesce(F.sum("more").over(Window.partitionBy("to").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    extra = F.greatest(F.lit(0), F.least("more", _lookup(room, F.col("to")) - ahead))
+    asked = asked.select("from", "to", (F.col("swap") + extra).alias("allowed")).filter("allowed > 0")
+    moves = moves.withColumn("b", _bucket(rows, "link"))
+    sums = moves.groupBy("from", "to", "b").agg(F.sum("m").alias("s"))
+    before = Window.partitionBy("from", "to").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("from", "to", "b").orderBy("link").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("first", F.coalesce(F.sum("s").over(before), F.lit(0))).join(asked, ["from", "to"]).filter("first < allowed").drop("s")
+    moves = moves.withColumn("upto", F.sum("m").over(inside)).join(sums, ["from", "to", "b"])
+    m = F.least("m", F.col("allowed") - F.col("first") - F.col("upto") + F.col("m"))
+    return moves.select("link", "from", "to", m.alias("m")).filter("m > 0")
+
+
 def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row, under the law ``rows``.
 
     ``n_shards`` is at most 4096. Shards' row counts are at most one apart; slots count from 0 in each shard. ``size``
     is the text's UTF-8 bytes (null: none) and 8. A null text has checksum 0 and no link; empty texts are equal
-    to one another. Null and repeated ids are rows like any other; rows equal in all columns may swap places. Where
-    a link's shards tie, the lower shard is preferred. Other columns are ignored. An empty table gives an empty result.
+    to one another. Null and repeated ids are rows like any other; rows equal in all columns may swap places. A link
+    larger than a shard ends in several. Raises where propagation has not settled after ``rounds`` rounds. Other columns are ignored. An empty table gives an empty result.
     """
     if not 1 <= n_shards <= 4096:
         raise ValueError("n_shards must be between 1 and 4096")
@@ -54,44 +97,49 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS) -> Dat
     linked = base.join(groups, "link")
     linked = kept.keep(linked.withColumn("b", _bucket(total, "doc_id", "link")), "linked")
     n_linked = linked.count()
-    linked = numbered(linked, [], "b", ["link", "doc_id"], "v").drop("b")
-    linked = kept.keep(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "v"), F.lit(n_shards)).cast("int")), "placed0")
+    linked = kept.keep(numbered(linked, [], "b", ["link", "doc_id"], "v").drop("b").withColumn("c", F.floor(F.col("v") / BUCKET_ROWS)), "numbered")
 
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-
-    def loads(df: DataFrame) -> list[int]:
-        have = {r["shard"]: r["n"] for r in df.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # n_shards rows
-        return [have.get(s, 0) for s in range(n_shards)]
-
-    for i in range(1, rounds + 1 if n_linked else 1):
-        room = [max(0, q - n) for q, n in zip(quota, loads(linked), strict=True)]
-        tally = linked.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        best = tally.groupBy("link").agg(F.max(F.when(_lookup(room, F.col("shard")) > 0, F.struct("n", (-F.col("shard")).alias("m")))).alias("best"))
-        moves = tally.join(best, "link").filter((F.col("best.n") > F.col("n")) | (F.col("best.n") == F.col("n")) & (-F.col("best.m") < F.col("shard")))
-        moves = moves.select("link", "shard", (-F.col("best.m")).alias("to"))
-        asked = linked.join(moves, ["link", "shard"]).select("v", "link", "to").withColumn("b", _bucket(n_linked, "link"))
-        # copies of one large link are dealt out over buckets, too
-        asked = kept.keep(asked.withColumn("b", F.col("b") * 64 + F.pmod(F.col("v"), F.lit(64))), f"asked{i}")
-        admitted = numbered(asked, ["to"], "b", ["link", "v"], "at").filter(F.col("at") < _lookup(room, F.col("to"))).select("v", "to")
-        now = kept.keep(linked.join(admitted, "v", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("shard", F.coalesce("to", "shard")).drop("to"), f"placed{i}")
-        moved = not now.filter("moved").isEmpty()
-        linked = now.drop("moved")
-        kept.drop(f"asked{i}")
-        kept.drop(f"placed{i - 1}")
-        if not moved:
-            break
-
-    # what exceeds a shard's size, and all unlinked rows, fill the shards that have room
-    ranked = numbered(linked.withColumn("b", _bucket(n_linked, "link") * 64 + F.pmod(F.col("v"), F.lit(64))), ["shard"], "b", ["link", "v"], "at").drop("b")
-    ranked = kept.keep(ranked.withColumn("stays", F.col("at") < _lookup(quota, F.col("shard"))), "ranked")
-    free = [q - min(q, n) for q, n in zip(quota, loads(linked), strict=True)]
-    ends = [sum(free[: s + 1]) for s in range(n_shards)]
+    tally = kept.keep(linked.groupBy("link", F.pmod("v", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")), "tally0")
+
+    def free() -> list[int]:
+        have = {r["shard"]: r["n"] for r in tally.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # n_shards rows
+        return [q - have.get(s, 0) for s, q in enumerate(quota)]
+
+    room, idle, i = free(), 0, 0
+    while n_linked and idle < 2:
+        i += 1
+        if i > rounds:
+            raise RuntimeError(f"label propagation did not settle in {rounds} rounds")
+        whole = i % 2 == 0
+        wish = kept.keep(_wishes(tally, quota if whole else room, whole), f"wish{i}")
+        moves = kept.keep(_moves(wish), f"moves{i}")
+        admitted = kept.keep(_admitted(moves, room, n_linked), f"admitted{i}")
+        if admitted.isEmpty():
+            idle += 1
+        else:
+            idle = 0
+            gone = admitted.select("link", F.col("from").alias("shard"), (-F.col("m")).alias("n"))
+            come = admitted.select("link", F.col("to").alias("shard"), F.col("m").alias("n"))
+            now = tally.unionByName(gone).unionByName(come).groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
+            tally = kept.keep(now, f"tally{i}")
+            room = free()
+        for name in ("wish", "moves", "admitted"):
+            kept.drop(f"{name}{i}")
+
+    # which of a link's documents go where: numbers inside (link, c), and the shards that each (link, c) meets
+    upto = F.sum("n").over(Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    spans = tally.withColumn("hi", upto).select("link", "shard", "hi", (F.col("hi") - F.col("n")).alias("lo"))
+    cells = linked.groupBy("link", "c").agg(F.count("*").alias("k")).withColumn("end", F.sum("k").over(Window.partitionBy("link").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)))
+    cells = cells.join(spans, "link").filter("lo < end and hi > end - k").select("link", "c", "shard", (F.col("lo") - F.col("end") + F.col("k")).alias("lo"), (F.col("hi") - F.col("end") + F.col("k")).alias("hi"))
+    placed = linked.withColumn("at", F.row_number().over(Window.partitionBy("link", "c").orderBy("v")) - 1).join(cells, ["link", "c"]).filter("at >= lo and at < hi")
+    ends = [sum(room[: s + 1]) for s in range(n_shards)]
     columns = ["doc_id", "size", "text_crc32", "link"]
     single = base.join(groups, "link", "left_anti")
-    pool = single.select(*columns).unionByName(ranked.filter("not stays").select(*columns)).withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link"))
+    pool = single.select(*columns).withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link"))
     pool = numbered(kept.keep(pool, "pool"), [], "b", ["doc_id", "size", "text_crc32", "link"], "at")
     filled = pool.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("at"))).cast("int"))
-    done = kept.keep(filled.select(*columns, "shard").unionByName(ranked.filter("stays").select(*columns, "shard")), "done")
+    done = kept.keep(filled.select(*columns, "shard").unionByName(placed.select(*columns, "shard")), "done")
     done = numbered(done.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), ["shard"], "b", ["doc_id", "size", "text_crc32", "link"], "slot")
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -111,6 +111,19 @@ def test_shards_are_even_and_keep_copies_together(spark, n):
     assert same > 1.5 * hashed
 
 
+def test_propagation_settles_with_large_groups(spark):
+    """A third of all rows are one text: it fills whole shards, and pairs are not cut."""
+    texts = ["huge"] * 200 + ["large"] * 100 + [f"pair {i // 2}" for i in range(60)] + [f"text {i}" for i in range(240)]
+    where = defaultdict(Counter)
+    for r in sharding.shards(docs(spark, texts), 24).collect():
+        where[texts[r["doc_id"]]][r["shard"]] += 1
+    assert len(where["huge"]) <= 14 and len(where["large"]) <= 8
+    pairs = [w for t, w in where.items() if t.startswith("pair")]
+    assert sum(len(w) == 1 for w in pairs) >= 0.8 * len(pairs)
+    with pytest.raises(RuntimeError):
+        sharding.shards(docs(spark, texts), 24, rounds=1)
+
+
 def test_shards_odd_rows(spark):
     rows = sharding.shards(odd(spark), 4).collect()
     assert len(rows) == 7 and sorted(Counter(r["shard"] for r in rows).values()) == [1, 2, 2, 2]
