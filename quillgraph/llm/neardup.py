@@ -3,8 +3,10 @@
 A set's parity sketch flips one bit for each element. Bits that more than one element may flip can only
 cancel, so two sketches differ in at most as many bits as the sets' symmetric difference has elements.
 Sets whose Jaccard similarity is ``t`` or more differ in at most ``(1-t)/t`` times the smaller set's size.
-All sets of a size band use one layout of one more block of sketch bits than that, so that some block of
-such a pair is equal in both. A layout's blocks are 2**32 bits wide; a block is held as the XOR of hashes
+All sets of a size band use one layout of more blocks of sketch bits than that, so that some block of
+such a pair is untouched by the difference. If it is empty in both, it gives no key: a pair without a key has all non-empty
+blocks touched, in both sets. A set with no more non-empty blocks than its difference may touch therefore also gives keys
+of small subsets of its first elements in the layout's order, of which such a pair shares one (prefix filter). A layout's blocks are 2**32 bits wide; a block is held as the XOR of hashes
 of its set bits, in which, too, a bit flipped twice cancels. Blocks that meet give candidate pairs, a
 second, narrow sketch bounds each pair's difference, and the sets themselves decide.
 
@@ -16,6 +18,8 @@ comparison. Nothing is capped: components are those of all links.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,7 @@ from quillgraph.session import Kept
 #: Id lists up to this many rows (8 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BAND_RATIO = 1.4
+PREFIX_SUBSETS = 256
 _U = np.uint64
 
 
@@ -43,8 +48,17 @@ def bands(percent: int, largest: int) -> list[int]:
     return low
 
 
+def subset_size(band: int, percent: int, low: list[int]) -> int:
+    """How many elements a prefix key has in a band: up to three, as long as the largest set has few subsets."""
+    largest = 100 * (low[band + 1] - 1) // percent
+    spare, shared = largest - -(-percent * largest // 100), -(-percent * low[band] // 100)
+    return max(k for k in (1, 2, 3) if k == 1 or k <= shared and math.comb(spare + k, k) <= PREFIX_SUBSETS)
+
+
 def block_keys(s: np.ndarray, percent: int, low: list[int]) -> np.ndarray:
-    """The blocks of a set's wide sketch, in its own band's layout and, if a smaller partner may be there, in the one below."""
+    """The keys of a set in its own band's layout and, if a smaller partner may be there, in the one below: of its
+    non-empty blocks, and where these are too few, of its prefix.
+    """
     n = len(s)
     own = int(np.searchsorted(low, n, "right")) - 1
     if own < 0:
@@ -54,13 +68,23 @@ def block_keys(s: np.ndarray, percent: int, low: list[int]) -> np.ndarray:
         if band < 0 or band < own and -(-percent * n // 100) >= low[own]:
             continue
         most = (100 - percent) * (low[band + 1] - 1) // percent
+        # some blocks to spare, as a few are empty
+        blocks = most + 1 + most // 7
         h = mix(s + mix(np.array([band + 1], np.uint64)))
-        block = (h >> _U(32)) % _U(most + 1)
+        block = (h >> _U(32)) % _U(blocks)
         order = np.argsort(block, kind="stable")
         at, first = np.unique(block[order], return_index=True)
         bit = mix((h[order] & _U(0xFFFFFFFF)) | (_U(1) << _U(40)))
         key = np.bitwise_xor.reduceat(bit, first)
         out.append(mix(key + mix(at + (_U(band) << _U(40)))))
+        if len(at) <= min(most, (100 - percent) * n // percent):
+            k = subset_size(band, percent, low)
+            prefix = np.sort(h)[: n - -(-percent * n // 100) + k]
+            each = np.array(list(itertools.combinations(prefix, k)), np.uint64)
+            key = np.full(len(each), band + 1, np.uint64) | (_U(1) << _U(50))
+            for j in range(k):
+                key = mix(key + each[:, j])
+            out.append(key)
     return np.concatenate(out).view(np.int64)
 
 

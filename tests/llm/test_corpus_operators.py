@@ -56,6 +56,22 @@ def test_join_finds_all_links(spark, seed, words, percent):
     assert got == plain_components(list(enumerate(texts)), words, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_pairs_of_small_sets_share_a_key(percent):
+    """Blocks that are empty in both sets give no key: such pairs meet by their prefixes."""
+    rng, low = np.random.default_rng(percent), neardup.bands(percent, 1 << 10)
+    for n in [*range(4, 41), 60, 100, 300]:
+        for m in range(n, 100 * n // percent + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            if both > n or n == m == both:  # equal sets are one node
+                continue
+            for _ in range(300 if n <= 20 else 20):
+                x = rng.integers(0, 1 << 62, n + m - both, dtype=np.uint64)
+                a, b = np.sort(x[:n]), np.sort(x[n - both :])
+                assert len(np.intersect1d(a, b)) == both and len(b) == m
+                assert len(np.intersect1d(neardup.block_keys(a, percent, low), neardup.block_keys(b, percent, low)))
+
+
 def test_sketches_never_overstate_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(50):
