@@ -3,8 +3,9 @@
 Each source's documents, in a hashed order, form blocks of ``block_rows``. With weight ``w`` the source's block ``k`` (from 0) is
 released at slot ``floor(k/w)`` and due by slot ``ceil((k+1)/w)``; in every slot the released block with the earliest deadline
 goes next. As the weights add up to one, every deadline is met, so that after any number of slots each
-source has had its share to within less than one block. Weights are whole multiples of ``1/PERIOD``, which makes the schedule repeat
-after ``PERIOD`` slots: only one period is ever simulated, on the driver, whatever the number of blocks.
+source has had its share to within less than one block. Weights are taken as exact fractions. The schedule repeats after their common denominator's
+slots, and at most one such period of a phase is simulated, on the driver (for ``TARGET`` 190 slots, whatever the number of
+blocks). Where the denominator is larger than the phase, all the phase's slots are simulated.
 
 No document is dropped or repeated. When a source runs out, a new phase begins in which the others share its
 weight in proportion. The first phase is exactly the target mix; ``phase`` tells a reader where it ends.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ REST = "\x00rest"
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source, at least one each, by largest remainders."""
+    """Slots of a period of a given length for each source, at least one each, by largest remainders (the schedule uses ``exact``)."""
     total = sum(weights.values())
     exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * (period - len(weights)) for s, w in weights.items()}
     out = {s: 1 + int(x) for s, x in exact.items()}
@@ -39,39 +41,54 @@ def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def one_period(quota: dict[str, int]) -> list[str]:
-    """The source that each slot of a period goes to: earliest deadline first among released blocks."""
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Slots of each source in the shortest period that gives every source exactly its share."""
+    parts = {s: Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in weights.items()}
+    total = sum(parts.values())
+    period = lcm(*((x / total).denominator for x in parts.values()))
+    return {s: int(x / total * period) for s, x in parts.items()}
+
+
+def one_period(quota: dict[str, int], left: dict[str, int] | None = None) -> list[str]:
+    """The source that each slot of a period goes to: earliest deadline first among released blocks.
+
+    With ``left`` it ends early with the slot that takes some source's last block.
+    """
     period, order = sum(quota.values()), sorted(quota)
     done = dict.fromkeys(order, 0)
-    waiting, ready, slots = [(0, s) for s in order], [], []
-    for t in range(period):
+    waiting, ready, slots, t = [(0, s) for s in order], [], [], 0
+    while t < period:
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(done[s] + 1) * period // quota[s]), s))
         _, s = heapq.heappop(ready)
         slots.append(s)
         done[s] += 1
+        t += 1
+        if left and done[s] == left[s]:
+            break
         if done[s] < quota[s]:
             heapq.heappush(waiting, (done[s] * period // quota[s], s))
     return slots
 
 
 def phases(weights: dict[str, float], blocks: dict[str, int]) -> list[dict]:
-    """Each phase: its first block of each source, its quotas, its period's slots, how many slots it lasts, and its first slot.
+    """Each phase: its first block of each source, its period's slots and quotas, how many slots it lasts, and its first slot.
 
-    A phase ends with the slot that takes some source's last block.
+    A phase ends with the slot that takes some source's last block; one that ends inside its first period has only those slots.
     """
     left, taken, at, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        quota = quotas({s: weights[s] for s in left})
-        slots = one_period(quota)
-        places: dict[str, list[int]] = {s: [] for s in left}
+        slots = one_period(exact({s: weights[s] for s in left}), left)
+        period = len(slots)
+        places: dict[str, list[int]] = {}
         for t, s in enumerate(slots):
-            places[s].append(t)
-        length = min((left[s] - 1) // quota[s] * PERIOD + places[s][(left[s] - 1) % quota[s]] + 1 for s in left)
-        out.append({"first": dict(taken), "quota": quota, "slots": slots, "length": length, "at": at})
-        whole, rest = divmod(length, PERIOD)
-        for s in list(left):
+            places.setdefault(s, []).append(t)
+        quota = {s: len(x) for s, x in places.items()}
+        length = min((left[s] - 1) // quota[s] * period + places[s][(left[s] - 1) % quota[s]] + 1 for s in places)
+        out.append({"first": dict(taken), "quota": quota, "slots": slots, "period": period, "length": length, "at": at})
+        whole, rest = divmod(length, period)
+        for s in places:
             got = whole * quota[s] + sum(t < rest for t in places[s])
             taken[s] += got
             left[s] -= got
@@ -114,15 +131,15 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
         places: dict[str, list[int]] = {}
         for t, s in enumerate(x["slots"]):
             places.setdefault(s, []).append(t)
-        table_rows += [(s, p, x["first"].get(s, 0), x["first"].get(s, 0) + _taken(x, s), x["at"], at) for s, at in places.items()]
-    # of PERIOD slots and MAX_SOURCES + 1 phases at most
-    plan_df = docs.sparkSession.createDataFrame(table_rows, "g string, phase int, first long, until long, at long, places array<int>")
+        table_rows += [(s, p, x["first"].get(s, 0), x["first"].get(s, 0) + _taken(x, s), x["at"], x["period"], at) for s, at in places.items()]
+    # MAX_SOURCES + 1 phases at most, each of no more slots than it has blocks
+    plan_df = docs.sparkSession.createDataFrame(table_rows, "g string, phase int, first long, until long, at long, period long, places array<int>")
     spans = F.broadcast(plan_df.withColumnRenamed("g", "_g"))
     rows = numbered(rows, ["g"], "b", ["h", "doc_id"], "n").drop("b", "h")
     rows = rows.withColumn("block", F.floor(F.col("n") / block_rows))
     rows = rows.join(spans, (F.col("g") == F.col("_g")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("until")))
     k, q = F.col("block") - F.col("first"), F.size("places")
-    slot = F.col("at") + F.floor(k / q) * PERIOD + F.element_at("places", (k % q + 1).cast("int"))
+    slot = F.col("at") + F.floor(k / q) * F.col("period") + F.element_at("places", (k % q + 1).cast("int"))
     rows = rows.withColumn("slot", slot.cast("long")).withColumn("inside", F.col("n") % block_rows)
     # only a source's last block is short: positions after it move up
     short = sorted((x["at"] + _slot_of(x, s, b - x["first"].get(s, 0)), block_rows - (counts[s] - b * block_rows)) for s in counts for b in [-(-counts[s] // block_rows) - 1] for x in plan if x["first"].get(s, 0) <= b < x["first"].get(s, 0) + _taken(x, s))
@@ -134,13 +151,13 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
 
 
 def _taken(x: dict, s: str) -> int:
-    whole, rest = divmod(x["length"], PERIOD)
+    whole, rest = divmod(x["length"], x["period"])
     return whole * x["quota"].get(s, 0) + sum(t < rest and y == s for t, y in enumerate(x["slots"]))
 
 
 def _slot_of(x: dict, s: str, k: int) -> int:
     places = [t for t, y in enumerate(x["slots"]) if y == s]
-    return k // len(places) * PERIOD + places[k % len(places)]
+    return k // len(places) * x["period"] + places[k % len(places)]
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -161,6 +162,21 @@ def test_period_keeps_every_prefix_within_a_block():
         assert done == Counter(quota)
 
 
+def test_millions_of_slots_keep_to_the_real_weights():
+    weights = {s: Fraction(w).limit_denominator(1000) for s, w in mixing.TARGET.items()}
+    assert sum(weights.values()) == 1
+    first = mixing.phases(mixing.TARGET, dict.fromkeys(weights, 10**6))[0]
+    assert len(first["slots"]) == 190
+    for n in (4184, 6827, 70_000, 1_000_001, 5_000_003, first["length"]):
+        for s, w in weights.items():
+            assert abs(mixing._taken(first | {"length": n}, s) - n * w) < 1
+    # weights without a short period, and sources that run out
+    blocks = {"a": 900, "b": 400, "c": 5}
+    plan = mixing.phases({"a": 0.6180339887, "b": 0.3141592653, "c": 0.0271828182}, blocks)
+    assert sum(x["length"] for x in plan) == sum(blocks.values())
+    assert {s: sum(mixing._taken(x, s) for x in plan) for s in blocks} == blocks
+
+
 def test_mix_is_whole_and_in_order(spark):
     rows = [(i, f"t{i}", f"s{i % 3}" if i % 10 else None, "k", "s") for i in range(1500)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string, block string, position string")
