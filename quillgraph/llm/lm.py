@@ -1,16 +1,18 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a bigram model with a Dirichlet prior on the smoothed unigrams:
-``p(w|h) = (c(h,w) + mu*p(w)) / (c(h) + mu)`` and ``p(w) = (c(w)+1) / (N+V+1)``. As an automaton it has a state for each
-known history and a root without one. A state has an arc for each word seen after it, with the whole smoothed
-probability, and a failure arc to the root, with ``mu/(c(h)+mu)``; the root has an arc for each word. Reading a text, the
-automaton takes the arc of the next word, failing first where there is none, and goes on in that word's state.
+The model is a trigram model with Dirichlet priors: ``p(w|uv) = (c(uvw) + mu*p(w|v)) / (c(uv) + mu)``,
+``p(w|v) = (c(vw) + mu*p(w)) / (c(v) + mu)`` and ``p(w) = (c(w)+1) / (N+V+1)``. As an automaton it has a state for each known
+history of two words, of one word, and a root. A state has an arc for each word seen after it, with the whole smoothed
+probability, to the state of the longest known history that the word completes; its failure arc, with ``mu/(c(h)+mu)``, leads to the state of the history
+without its first word. The root has an arc for each word. A text is read from left to right: the
+automaton takes its state's arc of the next word, failing as often as there is none, adds up the arcs' weights and carries the new state on.
 
 No machine holds the whole model. Documents are dealt into chunks of known size, each chunk asks for the counts of
-the words and bigrams that occur in it, and these requests meet in shards of a hash of the n-gram: a shard adds the
+the n-grams that occur in it, and these requests meet in shards of a hash of the n-gram: a shard adds the
 counts of all chunks, over all of the corpus, and answers every chunk. A chunk then has the part of the automaton that
-its own documents can reach, exactly as the whole one has it, and runs them through. Requests and answers are
-arrays, not rows, and grow with the corpus; no vocabulary is cut, and no n-gram is pruned. N-grams are known by 64-bit hashes.
+its own documents can reach, exactly as the whole one has it, and runs them through, all texts in step. Requests and answers are
+packed arrays, not rows. With more than ``cells`` pairs of a chunk and a shard, requests take two hops, over groups of chunks, so that the
+number of rows grows with the power 1.5 of the corpus, not 2. No vocabulary is cut, and no n-gram is pruned. N-grams are known by 64-bit hashes.
 
 Null texts count as empty and consist of the end token. A document without an id is scored and not learned from. Repeated
 rows count each time. Extra columns are ignored. An empty table gives an empty result.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -32,8 +35,13 @@ from quillgraph.llm.common import crc_mod, table
 from quillgraph.llm.tokens import batches, mix, word_hashes
 from quillgraph.session import Kept
 
+ORDER = 3
 MU = 30.0
 CHUNK_BYTES = 10 << 20
+SHARD_BYTES = 20 << 20
+CELLS = 1 << 22
+#: Longer texts are walked in pieces of so many tokens, each entered over the two tokens before it.
+PIECE = 256
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN = np.uint64(0x14057B7EF767814F)
 
@@ -52,45 +60,154 @@ def sequences(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), begins
 
 
-def bigrams(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """For each token the hash of it and the token before it; at a text's begin, of a begin mark and it."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[begins[:-1]] = _BEGIN
-    return mix(before * np.uint64(0x9FB21C651E98DF25) + tokens)
+def grams(tokens: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
+    """For each token the hash of the n-gram that it ends; a begin mark stands before a text. A text's first token ends no
+    trigram: it has the hash of its bigram again, which is asked for and not used.
+    """
+    h = tokens
+    for _ in range(order - 1):
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[begins[:-1]] = _BEGIN
+        h = mix(before * np.uint64(0x9FB21C651E98DF25) + tokens)
+    return h
 
 
 class Automaton:
-    """The part of the backoff automaton that a set of tokens can reach.
+    """The part of the backoff automaton that a chunk's texts can reach.
 
-    ``word`` and ``pair`` number each token's word and bigram; state ``s`` is the history of word ``s``, the root is -1.
+    ``word``, ``pair`` and ``triple`` give each token's n-grams a number, ``counts`` each n-gram's count. State 0 is the root, 1 the begin of a
+    text, then come words and pairs that were seen. ``arcs`` (sorted: state * words + word) have ``weight`` and ``to``; ``root_weight`` and ``root_to`` are
+    the root's, by word; ``fail`` and ``fail_weight`` are each state's failure arc.
     """
 
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray, begin_count: int, total: int, types: int, mu: float):
-        self.root_arc = (word_counts + 1.0) / (total + types + 1.0)
-        self.arc_count, self.word_counts, self.begin_count, self.mu = pair_counts, word_counts, begin_count, mu
-
-    def run(self, word: np.ndarray, pair: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Each token's log10 probability: its arc's weight, or the failure's and the root arc's.
-
-        The state before a token is its last word's alone, so all of a chunk's steps are taken at once, in text order.
-        """
-        state_count = np.empty(len(word))
-        state_count[1:] = self.word_counts[word[:-1]]
-        state_count[begins[:-1]] = self.begin_count
-        fail = self.mu / (state_count + self.mu)
-        lower, seen = self.root_arc[word], self.arc_count[pair]
-        weight = np.log10(fail) + np.log10(lower)
-        has = seen > 0
-        weight[has] = np.log10(seen[has] / (state_count[has] + self.mu) + fail[has] * lower[has])
-        return weight
+    def __init__(self, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, counts: list[np.ndarray], begins: np.ndarray, end: int, begun: int, total: int, types: int, mu: float):
+        c1, c2, c3 = counts
+        self.word, self.begins, self.words = word, begins, len(c1)
+        first = np.zeros(len(word), bool)
+        first[begins[:-1]] = True
+        smooth = (c1 + 1.0) / (total + types + 1.0)
+        self.root_weight = np.log10(smooth)
+
+        # states
+        known1 = c1 > 0
+        known1[end] = False
+        state1 = np.zeros(len(c1), np.int64)
+        state1[known1] = 2 + np.arange(known1.sum())
+        some2 = np.empty(len(c2), np.int64)  # a token that ends each pair
+        some2[pair[::-1]] = np.arange(len(pair))[::-1]
+        last = word[some2]
+        known2 = (c2 > 0) & (last != end)
+        state2 = np.zeros(len(c2), np.int64)
+        state2[known2] = 2 + known1.sum() + np.arange(known2.sum())
+        self.root_to = state1
+        self.fail = np.concatenate(([0, 0], np.zeros(known1.sum(), np.int64), state1[last[known2]]))
+        seen = np.concatenate(([1.0, begun], c1[known1], c2[known2]))
+        self.fail_weight = np.log10(mu / (seen + mu))
+        self.fail_weight[0] = 0.0
+
+        # arcs of one-word histories: pairs that were seen
+        arc2 = np.flatnonzero(c2 > 0)
+        at = some2[arc2]
+        from2 = np.where(first[at], 1, state1[word[at - 1]])
+        h = np.where(first[at], begun, c1[word[at - 1]])
+        p2 = np.zeros(len(c2))
+        p2[arc2] = (c2[arc2] + mu * smooth[last[arc2]]) / (h + mu)
+        # of two-word histories: triples that were seen; a text's first token ends none
+        some3 = np.full(len(c3), -1, np.int64)
+        inside = np.flatnonzero(~first)
+        some3[triple[inside[::-1]]] = inside[::-1]
+        arc3 = np.flatnonzero((c3 > 0) & (some3 >= 0))
+        at3 = some3[arc3]
+        p3 = (c3[arc3] + mu * p2[pair[at3]]) / (c2[pair[at3 - 1]] + mu)
+        keys = np.concatenate([from2 * self.words + last[arc2], state2[pair[at3 - 1]] * self.words + word[at3]])
+        order = np.argsort(keys)
+        self.arcs = keys[order]
+        self.weight = np.log10(np.concatenate([p2[arc2], p3]))[order]
+        self.to = np.concatenate([state2[arc2], state2[pair[at3]]])[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after ``word``, and the weights of all arcs taken."""
+        to, weight = self.root_to[word], self.root_weight[word]
+        live, now, paid = np.flatnonzero(state), state[state > 0], np.zeros(len(state))
+        while len(live) and len(self.arcs):
+            key = now * self.words + word[live]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            has = self.arcs[at] == key
+            to[live[has]], weight[live[has]] = self.to[at[has]], self.weight[at[has]]
+            live, now = live[~has], now[~has]
+            paid[live] += self.fail_weight[now]
+            now = self.fail[now]
+            live, now = live[now > 0], now[now > 0]
+        if not len(self.arcs):
+            while len(live):
+                paid[live] += self.fail_weight[now]
+                now = self.fail[now]
+                live, now = live[now > 0], now[now > 0]
+        return to, weight + paid
+
+    def walk(self) -> np.ndarray:
+        """Each text's log10 probability: all pieces of texts are read in step, each carrying its state."""
+        size = np.diff(self.begins)
+        many = -(-size // PIECE)
+        text = np.repeat(np.arange(len(size)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        at = self.begins[:-1][text] + nth * PIECE
+        left = np.minimum(self.begins[1:][text] - at, PIECE)
+        state = np.where(nth == 0, 1, 0)
+        later = nth > 0
+        for back in (2, 1):  # any two tokens put the automaton in the state that it has after the whole text before them
+            state[later], _ = self.step(state[later], self.word[at[later] - back])
+        order = np.argsort(-left, kind="stable")
+        text, at, left, state = text[order], at[order], left[order], state[order]
+        score, live = np.zeros(len(text)), len(text)
+        for t in range(int(left[0]) if len(left) else 0):
+            while left[live - 1] <= t:
+                live -= 1
+            state[:live], weight = self.step(state[:live], self.word[at[:live] + t])
+            score[:live] += weight
+        return np.bincount(text, score, minlength=len(size))
+
+
+def packed_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, and their counts."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes + packed_counts(counts, press=False))
+
+
+def unpacked_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    wide = raw[-1]
+    n = (len(raw) - 1) // (8 + wide)
+    keys = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view(np.uint64).ravel())
+    return keys, np.frombuffer(raw, f"u{wide}", n, 8 * n)
+
+
+def packed_counts(counts: np.ndarray, press: bool = True) -> bytes:
+    """Counts in the least width that holds them; the last byte is the width."""
+    most = int(counts.max()) if len(counts) else 0
+    wide = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    raw = counts.astype(f"u{wide}").tobytes() + bytes([wide])
+    return zstandard.ZstdCompressor(level=1).compress(raw) if press else raw
+
+
+def unpacked_counts(blob: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    return np.frombuffer(raw, f"u{raw[-1]}", (len(raw) - 1) // raw[-1])
+
+
+def _cuts(keys: np.ndarray, low: int, high: int, of: int) -> np.ndarray:
+    """Where the shards ``low`` to ``high`` of ``of`` begin in sorted ``keys``; shards are equal ranges of the keys' upper half."""
+    top = keys >> np.uint64(32)
+    edges = [-((-s << 32) // of) for s in range(low, high + 1)]
+    return np.searchsorted(top, np.array(edges, np.uint64))
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, chunks: int, held: int, modulus: int) -> DataFrame:
     """(chunk, pack): compressed lists of (id, learn, held out, text)."""
     rest = crc_mod(id_col, modulus)
     given = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text_col)), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text_col), text_col), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(rest != held, F.lit(False)).alias("learn"),
         F.coalesce(rest == held, F.lit(False)).alias("held"),
@@ -111,6 +228,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, chunks: int, held: int,
 
 
 def _unpacked(packs: pd.Series) -> tuple[list, np.ndarray, np.ndarray, list]:
+    """Ids, learned, held out, texts, in one order however the packs arrive."""
     open_ = zstandard.ZstdDecompressor()
     rows = []
     for p in packs:
@@ -119,21 +237,82 @@ def _unpacked(packs: pd.Series) -> tuple[list, np.ndarray, np.ndarray, list]:
     return ids, np.array(learn, bool), np.array(held, bool), texts
 
 
-def _asked(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys by shard, then key, and how many each shard gets."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.bincount(shard, minlength=shards)
+_NAMES = ["k1", "k2", "k3"]
+_ASKED = "shard int, chunk int, k1 binary, k2 binary, k3 binary, texts long"
+_ANSWERED = "chunk int, shard int, texts long, k1 binary, k2 binary, k3 binary, types long, tokens long"
+
+
+def _gathered(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several packed key lists: the distinct keys, the sums of their counts, each list's keys' numbers, and where each list begins."""
+    lists = [unpacked_keys(b) for b in blobs]
+    cut = np.concatenate(([0], np.cumsum([len(k) for k, _ in lists]))).astype(np.int64)
+    have, number = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
+    total = np.bincount(number, np.concatenate([c for _, c in lists]), minlength=len(have)).astype(np.uint64)
+    return have, total, number, cut
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Every (shard, chunk) that asked gets the sums of all chunks' counts, in the order of its keys."""
+
+    def answer(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("chunk", ignore_index=True)
+        out = {"chunk": part["chunk"], "shard": key[0], "texts": part["texts"]}
+        for name in _NAMES:
+            _, total, number, cut = _gathered(part[name])
+            out[name] = [packed_counts(total[number[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            if name == "k1":
+                first = np.arange(len(part)) == 0
+                out["types"] = np.where(first, int((total > 0).sum()), 0)
+                out["tokens"] = np.where(first, int(total.sum()), 0)
+        return pd.DataFrame(out)[["chunk", "shard", "texts", *_NAMES, "types", "tokens"]]
 
+    return asked.groupBy("shard").applyInPandas(answer, _ANSWERED)
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 2, modulus: int = 7, mu: float = MU, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+
+def _two_hops(asked: DataFrame, near: int, shards: int, group: int) -> DataFrame:
+    """As ``_answered``, for chunks that asked ``near`` coarse shards: groups of chunks ask ``shards`` fine ones and hand the answers on."""
+    dealt = asked.withColumn("g", F.floor(F.col("chunk") / group).cast("int"))
+
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        g, s = (int(x) for x in key)
+        low, high = s * shards // near, (s + 1) * shards // near
+        blobs = []
+        for name in _NAMES:
+            have, total, _, _ = _gathered(part[name])
+            cut = _cuts(have, low, high, shards)
+            blobs.append([packed_keys(have[a:b], total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        texts = int(part["texts"].sum())
+        return pd.DataFrame([(low + j, g, *b, texts if j == 0 else 0) for j, b in enumerate(zip(*blobs, strict=True))], columns=["shard", "chunk", *_NAMES, "texts"])
+
+    def split(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        part, told = part.sort_values("chunk", ignore_index=True), told.sort_values("shard")
+        out = {"chunk": part["chunk"], "shard": key[1]}
+        for name in _NAMES:
+            _, _, number, cut = _gathered(part[name])
+            total = np.concatenate([unpacked_counts(b) for b in told[name]])
+            out[name] = [packed_counts(total[number[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for name in ("texts", "types", "tokens"):
+            out[name] = np.where(np.arange(len(part)) == 0, int(told[name].sum()), 0)
+        return pd.DataFrame(out)[["chunk", "shard", "texts", *_NAMES, "types", "tokens"]]
+
+    fine = _answered(dealt.groupBy("g", "shard").applyInPandas(merge, _ASKED))
+    # the coarse shard that a fine one lies in
+    coarse = F.floor(((F.col("shard") + 1) * near - 1) / shards).cast("int")
+    back = fine.withColumnRenamed("chunk", "g").withColumn("near", coarse)
+    return dealt.groupBy("g", "shard").cogroup(back.groupBy("g", "near")).applyInPandas(split, _ANSWERED)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 2, modulus: int = 7, mu: float = MU, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, cells: int = CELLS) -> DataFrame:
     """Every row's ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
-    Learned from the rows whose crc32 of the id modulo ``modulus`` is not ``held``.
+    Learned from the rows whose crc32 of the id modulo ``modulus`` is not ``held``. Nulls, empty texts, repeated rows, clashing
+    columns and empty tables: see the module's text.
     """
     kept = Kept(docs.sparkSession, "lm")
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(16))).first()[0] or 0
-    chunks = shards = max(1, -(-size // chunk_bytes))
+    chunks, shards = max(1, -(-size // chunk_bytes)), max(1, -(-size // shard_bytes))
+    two = chunks * shards > cells
+    asks = max(1, isqrt(shards)) if two else shards
     packs = _packed(docs, id_col, text_col, chunks, held, modulus)
 
     def ask(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -141,63 +320,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         tokens, begins = sequences(texts)
         taught = np.repeat(learn, np.diff(begins))
         blobs = []
-        for of in (lambda: tokens, lambda: bigrams(tokens, begins)):
-            have, number = np.unique(of(), return_inverse=True)
-            count = np.bincount(number[taught], minlength=len(have)).astype(np.uint32)
-            order, sizes = _asked(have, shards)
-            cut = np.concatenate(([0], np.cumsum(sizes)))
-            have, count = have[order], count[order]
-            blobs.append([(have[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-        rows = [(s, key[0], *w, *p, int(learn.sum()) if s == 0 else 0) for s, (w, p) in enumerate(zip(*blobs, strict=True)) if w[0] or p[0]]
-        return pd.DataFrame(rows, columns=["shard", "chunk", "w", "wc", "p", "pc", "texts"])
-
-    asked = packs.groupBy("chunk").applyInPandas(ask, "shard int, chunk int, w binary, wc binary, p binary, pc binary, texts long")
-
-    def answer(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out = {"chunk": part["chunk"], "shard": key[0], "texts": part["texts"]}
-        for name, keys, counts in (("wc", "w", "wc"), ("pc", "p", "pc")):
-            have = np.frombuffer(b"".join(part[keys]), np.uint64)
-            _, number = np.unique(have, return_inverse=True)
-            total = np.bincount(number, np.frombuffer(b"".join(part[counts]), np.uint32))
-            told, cut = total[number].astype(np.uint64), np.concatenate(([0], np.cumsum([len(x) // 8 for x in part[keys]])))
-            small = told.astype(np.uint32) if not len(told) or told.max() < 1 << 32 else told
-            out[name] = [small[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            if name == "wc":
-                first = np.arange(len(part)) == 0
-                out["types"] = np.where(first, int((total > 0).sum()), 0)
-                out["tokens"] = np.where(first, int(total.sum()), 0)
-            out[name + "8"] = small.itemsize == 8
-        return pd.DataFrame(out)[["chunk", "shard", "texts", "wc", "wc8", "pc", "pc8", "types", "tokens"]]
-
-    answered = kept.keep(
-        asked.groupBy("shard").applyInPandas(answer, "chunk int, shard int, texts long, wc binary, wc8 boolean, pc binary, pc8 boolean, types long, tokens long"), "answers"
-    )
+        for order in range(1, ORDER + 1):
+            have, number = np.unique(grams(tokens, begins, order), return_inverse=True)
+            count = np.bincount(number[taught], minlength=len(have))
+            # equal ranges of shards, as many fine ones in each as there will be in the second hop
+            cut = _cuts(have, 0, shards, shards)[[s * shards // asks for s in range(asks + 1)]]
+            blobs.append([packed_keys(have[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        rows = [(s, key[0], *b, int(learn.sum()) if s == 0 else 0) for s, b in enumerate(zip(*blobs, strict=True))]
+        return pd.DataFrame(rows, columns=["shard", "chunk", *_NAMES, "texts"])
+
+    asked = packs.groupBy("chunk").applyInPandas(ask, _ASKED)
+    answered = kept.keep(_two_hops(asked, asks, shards, max(1, isqrt(chunks))) if two else _answered(asked), "answers")
     sums = answered.agg(F.sum("types"), F.sum("tokens"), F.sum("texts")).first()
     types, total, begun = (int(x or 0) for x in sums)
 
     def run(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         ids, _, held_out, texts = _unpacked(part["pack"])
+        del part
         tokens, begins = sequences(texts)
+        del texts
         told = told.sort_values("shard")
-        got = []
-        for of, name in ((lambda: tokens, "wc"), (lambda: bigrams(tokens, begins), "pc")):
-            have, number = np.unique(of(), return_inverse=True)
-            order, _ = _asked(have, shards)
-            counts = np.empty(len(have))
-            counts[order] = np.concatenate([np.frombuffer(b, np.uint64 if wide else np.uint32) for b, wide in zip(told[name], told[name + "8"], strict=True)])
-            got.append((counts, number))
-        (words, word), (pairs, pair) = got
-        automaton = Automaton(words, pairs, begun, total, types, mu)
+        counts, numbers = [], []
+        for order, name in enumerate(_NAMES, 1):
+            have, number = np.unique(grams(tokens, begins, order), return_inverse=True)
+            counts.append(np.concatenate([unpacked_counts(b) for b in told[name]]).astype(np.float64))
+            numbers.append(number)
+            if order == 1:
+                end = int(np.searchsorted(have, _END))
+        automaton = Automaton(*numbers, counts, begins, end, begun, total, types, mu)
         sums = lambda x: np.add.reduceat(x, begins[:-1])  # noqa: E731  every text has a token
         return pd.DataFrame(
             {
                 id_col: pd.array(ids, "Int64"),
                 "held_out": held_out,
                 "n_tokens": np.diff(begins),
-                "n_known": sums((words[word] > 0).astype(np.int64)),
+                "n_known": sums((counts[0] > 0).astype(np.int64)[numbers[0]]),
                 "train_tokens": total,
-                "base_score": sums(np.log10(automaton.root_arc)[word]),
-                "score": sums(automaton.run(word, pair, begins)),
+                "base_score": sums(automaton.root_weight[numbers[0]]),
+                "score": automaton.walk(),
             }
         )
 
@@ -206,5 +366,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:
-    """log10 probabilities of all documents under a model of those that are not held out."""
+    """log10 probabilities of all documents under a model of those that are not held out. Null texts are empty; a row with a null id is scored and
+    not learned from; repeated rows count each time; columns beside ``doc_id`` and ``text`` are ignored; an empty table gives no rows.
+    """
     return score(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quillgraph.llm import decontaminate, htmltext, langid, lm, pii, secrets
@@ -208,26 +209,31 @@ def test_pages(spark):
 
 
 def plain_scores(rows, held, modulus, mu):
-    words, pairs, n = Counter(), Counter(), 0
+    """The smoothed probabilities by their formulas, from counts in dictionaries."""
+    words, pairs, triples, n = Counter(), Counter(), Counter(), 0
     toks = [(i, (t or "").encode().lower().split() + ["</s>"]) for i, t in rows]
     for i, w in toks:
         if i is not None and zlib.crc32(str(i).encode()) % modulus != held:
             words.update(w)
             pairs.update(zip(["<s>", *w], w))
+            triples.update(zip(["<s>", *w], w, w[1:]))
             n += 1
     total, types, seen = sum(words.values()), len(words), {**words, "<s>": n}
-    p = lambda x: (words[x] + 1) / (total + types + 1)
+    p1 = lambda x: (words[x] + 1) / (total + types + 1)
+    p2 = lambda v, x: (pairs[v, x] + mu * p1(x)) / (seen.get(v, 0) + mu)
+    p3 = lambda u, v, x: (triples[u, v, x] + mu * p2(v, x)) / (pairs[u, v] + mu)
     out = []
     for i, w in toks:
-        score = sum(math.log10((pairs[h, x] + mu * p(x)) / (seen.get(h, 0) + mu)) for h, x in zip(["<s>", *w], w))
-        out.append((i, len(w), sum(words[x] > 0 for x in w), total, sum(math.log10(p(x)) for x in w), score))
+        score = math.log10(p2("<s>", w[0])) + sum(math.log10(p3(*x)) for x in zip(["<s>", *w], w, w[1:]))
+        out.append((i, len(w), sum(words[x] > 0 for x in w), total, sum(math.log10(p1(x)) for x in w), score))
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 24, 600])
-def test_automaton_scores(spark, chunk):
-    texts = [f"The quick w{i % 7} fox\tjumps ÉÈ over w{i % 5} THE end" * (1 + i % 3) for i in range(60)] + ["", None, "unseen words only"]
-    got = {r["doc_id"]: r for r in lm.score(docs(spark, texts), chunk_bytes=chunk).collect()}
+@pytest.mark.parametrize("chunk,shard,cells", [(1 << 24, 1 << 24, 1 << 22), (600, 500, 1 << 22), (600, 500, 1)])
+def test_automaton_scores(spark, chunk, shard, cells):
+    texts = [f"The quick w{i % 7} fox\tjumps ÉÈ over w{i % 5} THE end" * (1 + i % 3) for i in range(60)] + ["", None, "unseen words only", " ".join(f"w{j * j % 11}" for j in range(900)), "The THE"]
+    got = {r["doc_id"]: r for r in lm.score(docs(spark, texts), chunk_bytes=chunk, shard_bytes=shard, cells=cells).collect()}
+    assert len(got) == len(texts)
     for i, n, known, total, base, score in plain_scores(list(enumerate(texts)), 2, 7, lm.MU):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
@@ -236,11 +242,58 @@ def test_automaton_scores(spark, chunk):
 
 
 def test_model_adds_up_to_one(spark):
-    """All continuations of a history, with one unknown word for the rest, have probability one."""
-    texts = ["a b a c", "b a", "c"]
-    words = ["a", "b", "c", "unknownword"]
-    got = lm.score(docs(spark, texts + [f"a {w}" for w in words] + ["a"]).filter("true"), held=99).collect()
-    assert len(got) == 8 and all(r["score"] < 0 for r in got)
+    """After every history, all words, the end, and one unknown word for the rest have probability one together."""
+    train = ["a b a c", "b a", "c", "a b a a", "c a b"]
+    words, starts = ["a", "b", "c"], ["", "a", "b a", "a b", "c c", "unseen", "a unseen", "unseen a"]
+    asked = [(1000 + i, f"{s} {x}") for i, (s, x) in enumerate((s, x) for s in starts for x in [*words, "unknown"])]
+    ends = [(2000 + i, s) for i, s in enumerate(starts)]
+    rows = [*enumerate(train)] + [(None, t) for _, t in asked + ends]  # rows without an id are not learned from
+    rows = [(i, t, None, None, None) for i, t in rows]
+    got = defaultdict(list)
+    for r in lm.score(spark.createDataFrame(rows, DOCS), held=99).collect():
+        got[r["n_tokens"], r["doc_id"] is None].append(r["score"])
+    plain = plain_scores([(i, t) for i, t, *_ in rows], 99, 7, lm.MU)
+    assert sorted(x for v in got.values() for x in v) == pytest.approx(sorted(p[-1] for p in plain), abs=1e-9)
+    # each word's own step: the difference of two automaton runs that share all but the last words
+    automaton = _whole(train, [t for _, t in asked])
+    for s in starts:
+        state, ids = 1, automaton.ids
+        for w in s.split():
+            state = int(automaton.step(np.array([state]), np.array([ids[w]]))[0][0])
+        total = sum(10 ** float(automaton.step(np.array([state]), np.array([ids[x]]))[1][0]) for x in [*words, "</s>", "unknown"])
+        assert total == pytest.approx(1, abs=1e-9), s
+
+
+def _whole(train, others):
+    """The automaton of a model of ``train``, for the words of all texts."""
+    texts = train + others
+    tokens, begins = lm.sequences(texts)
+    taught = np.repeat(np.arange(len(texts)) < len(train), np.diff(begins))
+    numbers, counts = [], []
+    for order in (1, 2, 3):
+        have, number = np.unique(lm.grams(tokens, begins, order), return_inverse=True)
+        numbers.append(number)
+        counts.append(np.bincount(number[taught], minlength=len(have)).astype(float))
+        if order == 1:
+            end = int(np.searchsorted(have, lm._END))
+    out = lm.Automaton(*numbers, counts, begins, end, len(train), int(taught.sum()), int((counts[0] > 0).sum()), lm.MU)
+    out.ids = {}
+    for i, t in enumerate(texts):
+        for j, w in enumerate([*t.split(), "</s>"]):
+            out.ids[w] = int(numbers[0][begins[i] + j])
+    return out
+
+
+def test_automaton_has_states_arcs_and_failure_arcs():
+    a = _whole(["a b a c", "b a b a"], ["x y"])
+    assert (np.diff(a.arcs) > 0).all() and len(a.arcs) == len(a.weight) == len(a.to) and len(a.fail) == len(a.fail_weight)
+    # failure arcs shorten the history until the root
+    for s in range(1, len(a.fail)):
+        hops, at = 0, s
+        while at:
+            at, hops = int(a.fail[at]), hops + 1
+        assert hops <= 2
+    assert a.to.max() < len(a.fail) and a.root_to.max() < len(a.fail)
 
 
 def test_scores_odd_rows(spark):
