@@ -4,6 +4,9 @@ The families are told apart by linear support vector machines, one against the r
 family by one linear machine for each pair, which vote. Features are relative frequencies of hashed byte
 bigrams and trigrams of the whole lower-cased text, so that a text's decision values are sums over its bytes.
 
+Machines only tell the learned languages from one another. Whether a text is in one of them at all is a test of its own: the mean
+log-probability of its n-grams in the predicted language, against what the learned documents of that language show at that length.
+
 Nulls, empty texts and texts without a letter are ``und`` with score 0, and so is every text where nothing
 could be learned (an empty table, no ``lang``). With one language learned, that one has score 1. Repeated
 rows get equal results; extra columns are ignored.
@@ -43,8 +46,10 @@ ORDERS = (2, 3)
 SCALE = 64.0
 #: At most about so many labelled documents are learned from, an equal share for each language.
 SAMPLE_DOCS = 1600
-#: Documents whose best language scores less are rejected by ``accepted``.
-MIN_SCORE = 0.2
+#: ``accepted`` rejects a text whose n-grams are less usual in its predicted language than the learned documents' by more than
+#: so many standard deviations at its length, or than ``SLACK`` times what all but a few of the learned documents show, if that is more.
+DEVIATIONS = 11.0
+SLACK = 1.5
 
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -135,6 +140,55 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 25) -> t
     return w, float(b)
 
 
+def _trimmed(x: np.ndarray) -> float:
+    """The mean without the largest fiftieth."""
+    return float(np.sort(x)[: len(x) - len(x) // 50].mean())
+
+
+@dataclass
+class Usual:
+    """How usual n-grams are in each language: ``logs`` has a column for each of ``codes``. A text of ``n`` bytes has a mean near ``mean``, with the
+    variance ``spread + noise / n``; ``limit`` is the largest deviation below it that is accepted.
+    """
+
+    codes: list[str]
+    logs: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    noise: np.ndarray
+    limit: float
+
+    def below(self, texts: list, pred: list[str]) -> np.ndarray:
+        """How many standard deviations each text is less usual than its predicted language's learned documents."""
+        at = np.array([self.codes.index(p) if p in self.codes else -1 for p in pred], np.int64)
+        value = sums(texts, self.logs)[np.arange(len(texts)), at]
+        size = np.array([1 if t is None else max(1, len(t.encode("utf-8", "surrogatepass"))) for t in texts])
+        return np.where(at < 0, np.inf, self._below(value, size, at))
+
+    def _below(self, value: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (self.mean[at] - value) / np.sqrt(self.spread[at] + self.noise[at] / size)
+
+    @staticmethod
+    def learned(codes: list[str], x: np.ndarray, lang: np.ndarray, size: np.ndarray) -> Usual:
+        """From rows of features, their languages and sizes in bytes: whole documents and short pieces."""
+        logs = np.empty((x.shape[1], len(codes)), np.float32)
+        out = Usual(codes, logs, np.zeros(len(codes)), np.ones(len(codes)), np.ones(len(codes)), DEVIATIONS)
+        at = np.array([codes.index(c) for c in lang])
+        for k in range(len(codes)):
+            total = x[at == k].sum(0, dtype=np.float64).reshape(len(ORDERS), BUCKETS)
+            share = (total / np.maximum(total.sum(1, keepdims=True), 1e-9) + 0.05 / BUCKETS) / 1.05
+            logs[:, k] = np.log2(share).ravel()
+            value, n = x[at == k] @ logs[:, k], size[at == k]
+            out.mean[k] = np.median(value)
+            far, long = (value - out.mean[k]) ** 2, n >= np.median(n)
+            # without the farthest fiftieth, so that a few texts with a wrong label do not widen what is usual
+            out.spread[k] = max(1e-3, _trimmed(far[long]))
+            out.noise[k] = max(1e-3, _trimmed(np.maximum(far[~long] - out.spread[k], 0) * n[~long])) if (~long).any() else 1e-3
+        every = out._below(np.einsum("nd,dn->n", x, logs[:, at]), size, at)
+        out.limit = max(DEVIATIONS, SLACK * float(np.quantile(every, 0.995)))
+        return out
+
+
 @dataclass
 class Model:
     """``machines[m]`` is (what it decides for, against, family or None); ``weights`` has a column for each."""
@@ -144,6 +198,7 @@ class Model:
     machines: list[tuple[str, str | None, str | None]] = field(default_factory=list)
     weights: np.ndarray | None = None
     biases: np.ndarray | None = None
+    usual: Usual | None = None
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         n = len(texts)
@@ -183,7 +238,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     codes = sorted(counts)
     families = sorted({_FAMILY_OF.get(c, c) for c in codes})
     model = Model(families, {f: [c for c in codes if _FAMILY_OF.get(c, c) == f] for f in families})
-    if len(codes) < 2:
+    if not codes:
         return model
     share = F.lit(0.0)
     for c in codes:
@@ -198,11 +253,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 at = int(i) * 7919 % max(1, len(t) - length)
                 for piece in (t, t[at : at + length]):  # short pieces teach what short texts look like
                     where, what = frequencies(piece)
-                    rows.append((i, lang, where.tobytes(), what.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "at", "x"])
+                    rows.append((i, lang, where.tobytes(), what.tobytes(), len(piece.encode("utf-8", "surrogatepass"))))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "at", "x", "size"])
 
     drawn = drawn.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text", "lang")
-    rows = drawn.mapInPandas(featured, "doc_id long, lang string, at binary, x binary").collect()
+    rows = drawn.mapInPandas(featured, "doc_id long, lang string, at binary, x binary, size long").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], len(r["at"]), bytes(r["at"])))
     x = np.zeros((len(rows), BUCKETS * len(ORDERS)), np.float32)
     for i, r in enumerate(rows):
@@ -221,8 +276,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     for f in families:
         for a, b in itertools.combinations(model.languages[f], 2):
             learn((a, b, f), (lang == a) | (lang == b), lang == a)
-    model.weights = np.stack([w for w, _ in found], 1)
-    model.biases = np.array([b for _, b in found])
+    if found:
+        model.weights = np.stack([w for w, _ in found], 1)
+        model.biases = np.array([b for _, b in found])
+    model.usual = Usual.learned(codes, x, lang, np.array([max(1, r["size"]) for r in rows]))
     return model
 
 
@@ -247,22 +304,29 @@ def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows, all columns as they are, whose text has a letter and whose language is told with at least ``min_score``."""
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns as they are, whose text has a letter and is in one of the learned languages.
+
+    Null and empty texts and those without a letter go, as do all where nothing could be learned; a text whose n-grams are too unusual (see
+    ``DEVIATIONS``) goes. Rows are judged one by one, by ``text`` alone: repeated rows and null ids stay or go with their text.
+    """
     letter = regex.compile(r"\p{L}")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column("text").to_pylist()
-            pred, score = model.predict(texts)
-            keep = [t is not None and p != "und" and s >= min_score and letter.search(t) is not None for t, p, s in zip(texts, pred, score, strict=True)]
+            pred, _ = model.predict(texts)
+            far = model.usual.below(texts, pred) > model.usual.limit if model.usual else np.ones(len(texts), bool)
+            keep = [t is not None and not f and letter.search(t) is not None for t, f in zip(texts, far, strict=True)]
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
-    """The language of every whole document, learned from those that are not held out."""
+    """The language of every whole document, learned from those that are not held out. Texts that are null or have no letter
+    are ``und`` with score 0; rows with a null id are not held out; repeated rows stay; other columns are ignored; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False))))
     held = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
