@@ -5,7 +5,7 @@ released at slot ``floor(k/w)`` and due by slot ``ceil((k+1)/w)``; in every slot
 goes next. As the weights add up to one, every deadline is met, so that after any number of slots each
 source has had its share to within less than one block. Weights are taken as exact fractions. The schedule repeats after their common denominator's
 slots, and at most one such period of a phase is simulated, on the driver (for ``TARGET`` 190 slots, whatever the number of
-blocks). Where the denominator is larger than the phase, all the phase's slots are simulated.
+blocks). Where the denominator is larger than the phase, all the phase's slots are simulated; blocks are doubled until those are at most ``SLOTS``.
 
 No document is dropped or repeated. When a source runs out, a new phase begins in which the others share its
 weight in proportion. The first phase is exactly the target mix; ``phase`` tells a reader where it ends.
@@ -14,6 +14,7 @@ weight in proportion. The first phase is exactly the target mix; ``phase`` tells
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
 from math import lcm
 
@@ -23,41 +24,35 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import numbered, table
 from quillgraph.session import Kept
 
-PERIOD = 4096
 BLOCK_ROWS = 64
 BUCKET_ROWS = 4096
-#: Weights are listed for at most so many sources; all further ones are mixed as one, as ``REST``.
-MAX_SOURCES = 256
-REST = "\x00rest"
-
-
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period of a given length for each source, at least one each, by largest remainders (the schedule uses ``exact``)."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+#: The driver's plan has a row for each phase and source: half of this number squared at most. More sources raise.
+MAX_SOURCES = 1024
+#: Slots that the driver simulates for one phase.
+SLOTS = 1 << 20
+#: Stands for a null source.
+NONE = "\x00none"
 
 
-def exact(weights: dict[str, float]) -> dict[str, int]:
+def exact(weights: dict[str, float | Fraction]) -> dict[str, int]:
     """Slots of each source in the shortest period that gives every source exactly its share."""
-    parts = {s: Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in weights.items()}
+    parts = {s: w if isinstance(w, Fraction) else Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in weights.items()}
     total = sum(parts.values())
     period = lcm(*((x / total).denominator for x in parts.values()))
     return {s: int(x / total * period) for s, x in parts.items()}
 
 
-def one_period(quota: dict[str, int], left: dict[str, int] | None = None) -> list[str]:
+def one_period(quota: dict[str, int], left: dict[str, int] | None = None, most: int | None = None) -> list[str]:
     """The source that each slot of a period goes to: earliest deadline first among released blocks.
 
-    With ``left`` it ends early with the slot that takes some source's last block.
+    With ``left`` it ends early with the slot that takes some source's last block. Raises ``OverflowError`` beyond ``most`` slots.
     """
     period, order = sum(quota.values()), sorted(quota)
     done = dict.fromkeys(order, 0)
     waiting, ready, slots, t = [(0, s) for s in order], [], [], 0
     while t < period:
+        if t == most:
+            raise OverflowError(f"more than {most} slots")
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(done[s] + 1) * period // quota[s]), s))
@@ -72,25 +67,31 @@ def one_period(quota: dict[str, int], left: dict[str, int] | None = None) -> lis
     return slots
 
 
-def phases(weights: dict[str, float], blocks: dict[str, int]) -> list[dict]:
-    """Each phase: its first block of each source, its period's slots and quotas, how many slots it lasts, and its first slot.
+def taken(phase: dict, s: str, slots: int | None = None) -> int:
+    """How many blocks a source gets in the first ``slots`` of a phase (all of its length)."""
+    whole, rest = divmod(phase["length"] if slots is None else slots, phase["period"])
+    places = phase["places"].get(s, [])
+    return whole * len(places) + bisect_left(places, rest)
+
+
+def phases(weights: dict[str, float | Fraction], blocks: dict[str, int], most: int | None = None) -> list[dict]:
+    """Each phase: its first block of each source, its period and each source's places in it, how many slots it lasts, its first slot, and the source that runs out.
 
     A phase ends with the slot that takes some source's last block; one that ends inside its first period has only those slots.
     """
-    left, taken, at, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    left, had, at, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        slots = one_period(exact({s: weights[s] for s in left}), left)
+        slots = one_period(exact({s: weights[s] for s in left}), left, most)
         period = len(slots)
         places: dict[str, list[int]] = {}
         for t, s in enumerate(slots):
             places.setdefault(s, []).append(t)
-        quota = {s: len(x) for s, x in places.items()}
-        length = min((left[s] - 1) // quota[s] * period + places[s][(left[s] - 1) % quota[s]] + 1 for s in places)
-        out.append({"first": dict(taken), "quota": quota, "slots": slots, "period": period, "length": length, "at": at})
-        whole, rest = divmod(length, period)
+        length, last = min(((left[s] - 1) // len(x) * period + x[(left[s] - 1) % len(x)] + 1, s) for s, x in places.items())
+        phase = {"first": dict(had), "places": places, "period": period, "length": length, "at": at, "last": last}
+        out.append(phase)
         for s in places:
-            got = whole * quota[s] + sum(t < rest for t in places[s])
-            taken[s] += got
+            got = taken(phase, s)
+            had[s] += got
             left[s] -= got
             if not left[s]:
                 del left[s]
@@ -98,70 +99,61 @@ def phases(weights: dict[str, float], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
+def planned(weights: dict[str, float | Fraction], counts: dict[str, int], block_rows: int) -> tuple[list[tuple], int]:
+    """The schedule as rows, and the rows of a block: for each phase and source (source, phase, first block, block after the last, first
+    slot, period, places, rows that are missing from the blocks before).
+    """
+    while True:
+        try:
+            plan = phases(weights, {s: -(-n // block_rows) for s, n in counts.items()}, SLOTS)
+            break
+        except OverflowError:
+            block_rows *= 2
+    rows, missing = [], 0
+    for p, x in enumerate(plan):
+        rows += [(s, p, x["first"][s], x["first"][s] + taken(x, s), x["at"], x["period"], places, missing) for s, places in x["places"].items()]
+        # only a source's last block is short, and it is a phase's last one: positions after it move up
+        missing += -counts[x["last"]] % block_rows
+    return rows, block_rows
+
+
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, carry: bool = False) -> DataFrame:
     """Every row's ``doc_id``, ``source``, ``block`` (of its source), ``phase``, ``slot`` and ``position`` in the mix, from 0.
 
-    ``weights``: target shares by source, positive; without them all sources weigh the same. Sources that are not listed
-    (and a null source) are mixed as one source of the mean weight. ``carry`` adds the documents' own columns as ``row``.
+    ``weights``: target shares by source, positive; without them all sources weigh the same. Every source that is not listed, and the
+    null source, has a schedule of its own with the mean weight of those listed. ``carry`` adds the documents' own columns as ``row``.
     A source's last block may be short. Repeated rows each have a position of their own; equal rows may swap. Null ids and
-    texts are rows like any other. Other columns do no harm. An empty table gives an empty result.
+    texts are rows like any other. Other columns do no harm. An empty table gives an empty result. More than ``MAX_SOURCES`` sources raise.
     """
     kept = Kept(docs.sparkSession, "mixing")
     if weights is not None and any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    if weights is None:
-        top = docs.filter("source is not null").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect()
-        weights = {r["source"]: 1.0 for r in top}
-    if len(weights) > MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES} weights")
-    weights = weights | {REST: sum(weights.values()) / len(weights) if weights else 1.0}
-    listed = [s for s in weights if s != REST]
-    group = F.when(F.col("source").isin(listed), F.col("source")).otherwise(F.lit(REST)) if listed else F.lit(REST)
+    group = F.coalesce(F.col("source"), F.lit(NONE))
     rows = docs.select("doc_id", "source", group.alias("g"), F.xxhash64("doc_id", "source").alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    total = docs.count()
-    rows = rows.withColumn("b", F.pmod(F.col("h"), F.lit(max(1, total // BUCKET_ROWS))))
     if not carry:
         rows = kept.keep(rows, "rows")
-    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    plan = phases(weights, {s: -(-n // block_rows) for s, n in counts.items()})
-
-    # the schedule as a table: for each phase and source, its first block and first slot, and the places in the period
-    table_rows = []
-    for p, x in enumerate(plan):
-        places: dict[str, list[int]] = {}
-        for t, s in enumerate(x["slots"]):
-            places.setdefault(s, []).append(t)
-        table_rows += [(s, p, x["first"].get(s, 0), x["first"].get(s, 0) + _taken(x, s), x["at"], x["period"], at) for s, at in places.items()]
-    # MAX_SOURCES + 1 phases at most, each of no more slots than it has blocks
-    plan_df = docs.sparkSession.createDataFrame(table_rows, "g string, phase int, first long, until long, at long, period long, places array<int>")
+    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    if len(counts) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    given = {s: Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in (weights or {}).items()}
+    other = sum(given.values()) / len(given) if given else Fraction(1)
+    table_rows, block_rows = planned({s: given.get(s, other) for s in counts}, counts, block_rows)
+    rows = rows.withColumn("b", F.pmod(F.col("h"), F.lit(max(1, sum(counts.values()) // BUCKET_ROWS))))
+
+    plan_df = docs.sparkSession.createDataFrame(table_rows, "g string, phase int, first long, until long, at long, period long, places array<int>, gap long")
     spans = F.broadcast(plan_df.withColumnRenamed("g", "_g"))
     rows = numbered(rows, ["g"], "b", ["h", "doc_id"], "n").drop("b", "h")
     rows = rows.withColumn("block", F.floor(F.col("n") / block_rows))
     rows = rows.join(spans, (F.col("g") == F.col("_g")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("until")))
     k, q = F.col("block") - F.col("first"), F.size("places")
     slot = F.col("at") + F.floor(k / q) * F.col("period") + F.element_at("places", (k % q + 1).cast("int"))
-    rows = rows.withColumn("slot", slot.cast("long")).withColumn("inside", F.col("n") % block_rows)
-    # only a source's last block is short: positions after it move up
-    short = sorted((x["at"] + _slot_of(x, s, b - x["first"].get(s, 0)), block_rows - (counts[s] - b * block_rows)) for s in counts for b in [-(-counts[s] // block_rows) - 1] for x in plan if x["first"].get(s, 0) <= b < x["first"].get(s, 0) + _taken(x, s))
-    gap = F.lit(0)
-    for at, missing in short:
-        gap = gap + F.when(F.col("slot") > at, F.lit(missing)).otherwise(0)
-    rows = rows.withColumn("position", F.col("slot") * block_rows + F.col("inside") - gap)
+    rows = rows.withColumn("slot", slot.cast("long"))
+    rows = rows.withColumn("position", F.col("slot") * block_rows + F.col("n") % block_rows - F.col("gap"))
     return rows.select("doc_id", "source", F.col("block").cast("long").alias("block"), "phase", "slot", F.col("position").cast("long").alias("position"), *(["row"] if carry else []))
 
 
-def _taken(x: dict, s: str) -> int:
-    whole, rest = divmod(x["length"], x["period"])
-    return whole * x["quota"].get(s, 0) + sum(t < rest and y == s for t, y in enumerate(x["slots"]))
-
-
-def _slot_of(x: dict, s: str, k: int) -> int:
-    places = [t for t, y in enumerate(x["slots"]) if y == s]
-    return k // len(places) * x["period"] + places[k % len(places)]
-
-
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """All rows and columns of ``docs``, in the order of the mix: sorted within and across partitions."""
+    """All rows and columns of ``docs``, in the order of the mix: sorted within and across partitions. Nulls, repeated rows and empty tables: as ``schedule``."""
     names = docs.columns
     rows = schedule(docs, weights, carry=True)
     return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position").select(*[F.col("row").getField(c).alias(c) for c in names])
@@ -172,5 +164,7 @@ TARGET = {"src0": 0.1} | {f"src{i}": 0.9 / 19 for i in range(1, 20)}
 
 
 def op6_pfair_mix(spark, sf_dir: str) -> DataFrame:
-    """Every document's place in a mix of its sources at target weights."""
+    """Every document's place in a mix of its sources at target weights. Null ids, texts and sources, repeated rows, clashing columns and
+    empty tables: as ``schedule``.
+    """
     return schedule(table(spark, sf_dir, "documents"), TARGET)
