@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Buckets whose sizes are summed in one task, when numbering.
+SPAN = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,11 +22,15 @@ def numbered(df: DataFrame, within: list[str], bucket: str, order: list, out: st
     """Gapless numbers from 0 within ``within``, in the order of (``bucket``, ``order``).
 
     No task gets a whole group: rows are numbered inside a bucket, and the buckets' sizes, summed before
-    the shuffle, give each bucket its first number. ``bucket`` is a column of small values, with few rows in each.
+    the shuffle, give each bucket its first number: first within spans of buckets, then over the spans. ``bucket`` is a long, with few rows in each.
     """
-    sizes = df.groupBy(*within, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select(*within, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    sizes = df.groupBy(*within, bucket).agg(F.count("*").alias("_n")).withColumn("_span", F.floor(F.col(bucket) / SPAN))
+    spans = sizes.groupBy(*within, "_span").agg(F.sum("_n").alias("_n"))
+    early = Window.partitionBy(*within).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*within, "_span", F.coalesce(F.sum("_n").over(early), F.lit(0)).alias("_base"))
+    before = Window.partitionBy(*within, "_span").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(spans, [*within, "_span"])
+    first = first.select(*within, bucket, (F.col("_first") + F.col("_base")).alias("_first"))
     inside = Window.partitionBy(*within, bucket).orderBy(*order)
     return (
         df.withColumn("_at", F.row_number().over(inside) - 1)

@@ -1,6 +1,6 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
-Documents with equal texts are linked. Linked documents are first dealt out over the shards in a hashed order. A link's
+Documents with equal texts are linked, or with equal values of another column that is given. Linked documents are first dealt out over the shards in a hashed order. A link's
 documents are alike, so the rounds move counts: how many of a link's documents each shard has. In a round each link
 orders its shards by how many it has there (ties: first those with room, then by a hash) and wants to fill the first ones with what lies in the last. In odd
 rounds it counts on the shards' free room, in even rounds on whole shards. Of those that want to go from one shard to another
@@ -14,7 +14,8 @@ tallied before any shuffle, and numbers are given inside small buckets, so no ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import numbered, table
@@ -73,31 +74,44 @@ def _admitted(moves: DataFrame, room: list[int], rows: int) -> DataFrame:
     return moves.select("link", "from", "to", m.alias("m")).filter("m > 0")
 
 
-def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS) -> DataFrame:
+def as_stored(docs: DataFrame) -> Column:
+    """A long that grows in the order in which the rows of ``docs`` were written: by file, then by row; of what is no table of files, in its own order."""
+    part = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).cast("long")
+    try:
+        docs.select("_metadata.row_index", part)
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.coalesce(part, F.lit(0)) * F.lit(1 << 33) + F.col("_metadata.row_index")
+
+
+def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link: Column | None = None, order: Column | None = None) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row, under the law ``rows``.
 
-    ``n_shards`` is at most 4096. Shards' row counts are at most one apart; slots count from 0 in each shard. ``size``
-    is the text's UTF-8 bytes (null: none) and 8. A null text has checksum 0 and no link; empty texts are equal
-    to one another. Null and repeated ids are rows like any other; rows equal in all columns may swap places. A link
+    ``n_shards`` is at most 4096. Shards' row counts are at most one apart; slots count from 0 in each shard, in a hashed order or in that
+    of ``order``, a long (rows between two multiples of 65536 of it meet in one task for each shard). ``size``
+    is the text's UTF-8 bytes (null: none) and 8. Rows with an equal ``link`` are linked (null: with nothing); without it, rows with equal texts: a null text has no link,
+    empty ones are equal to one another. A null text has checksum 0. Null and repeated ids are rows like any other; rows equal in all columns may swap places. A link
     larger than a shard ends in several. Raises where propagation has not settled after ``rounds`` rounds. Other columns are ignored. An empty table gives an empty result.
     """
     if not 1 <= n_shards <= 4096:
         raise ValueError("n_shards must be between 1 and 4096")
     kept = Kept(docs.sparkSession, "sharding")
     text = F.col("text")
+    same = F.when(text.isNotNull(), F.xxhash64(F.octet_length(text), F.crc32(text.cast("binary")), text))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.when(text.isNotNull(), F.xxhash64(F.octet_length(text), F.crc32(text.cast("binary")), text)).alias("link"),
+        (same if link is None else link.cast("long")).alias("link"),
+        (F.lit(None) if order is None else order).cast("long").alias("ord"),
     )
     base = kept.keep(base, "base")
     total = base.count()
     groups = base.filter("link is not null").groupBy("link").agg(F.count("*").alias("copies")).filter("copies > 1").select("link")
     linked = base.join(groups, "link")
-    linked = kept.keep(linked.withColumn("b", _bucket(total, "doc_id", "link")), "linked")
+    linked = kept.keep(linked.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), "linked")
     n_linked = linked.count()
-    linked = kept.keep(numbered(linked, [], "b", ["link", "doc_id"], "v").drop("b").withColumn("c", F.floor(F.col("v") / BUCKET_ROWS)), "numbered")
+    linked = kept.keep(numbered(linked, [], "b", ["link", "doc_id", "size", "text_crc32"], "v").drop("b").withColumn("c", F.floor(F.col("v") / BUCKET_ROWS)), "numbered")
 
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     tally = kept.keep(linked.groupBy("link", F.pmod("v", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")), "tally0")
@@ -134,16 +148,21 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS) -> Dat
     cells = cells.join(spans, "link").filter("lo < end and hi > end - k").select("link", "c", "shard", (F.col("lo") - F.col("end") + F.col("k")).alias("lo"), (F.col("hi") - F.col("end") + F.col("k")).alias("hi"))
     placed = linked.withColumn("at", F.row_number().over(Window.partitionBy("link", "c").orderBy("v")) - 1).join(cells, ["link", "c"]).filter("at >= lo and at < hi")
     ends = [sum(room[: s + 1]) for s in range(n_shards)]
-    columns = ["doc_id", "size", "text_crc32", "link"]
+    columns = ["doc_id", "size", "text_crc32", "link", "ord"]
     single = base.join(groups, "link", "left_anti")
     pool = single.select(*columns).withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link"))
     pool = numbered(kept.keep(pool, "pool"), [], "b", ["doc_id", "size", "text_crc32", "link"], "at")
     filled = pool.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("at"))).cast("int"))
     done = kept.keep(filled.select(*columns, "shard").unionByName(placed.select(*columns, "shard")), "done")
-    done = numbered(done.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), ["shard"], "b", ["doc_id", "size", "text_crc32", "link"], "slot")
+    if order is None:
+        done = numbered(done.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), ["shard"], "b", ["doc_id", "size", "text_crc32", "link"], "slot")
+    else:
+        done = numbered(done.withColumn("b", F.shiftright("ord", 16)), ["shard"], "b", ["ord"], "slot")
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_balanced_shards(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 23 with equal row counts, equal texts together."""
+    """All documents in shards 0 to 23 with equal row counts, equal texts together. Null ids and texts, repeated rows, clashing columns and empty
+    tables: as ``shards``.
+    """
     return shards(table(spark, sf_dir, "documents"), 24)
