@@ -44,7 +44,8 @@ def bands(percent: int, largest: int) -> list[int]:
     """Lower bounds of the size bands, from the least size at which two different sets can be similar."""
     low = [next(n for n in range(1, 101) if (100 - percent) * n // percent >= 1)]
     while low[-1] <= largest:
-        low.append(max(low[-1] + 1, int(low[-1] * BAND_RATIO)))
+        # no set of a band has a partner below the band before
+        low.append(max(low[-1] + 1, int(low[-1] * BAND_RATIO), 100 * (low[-1] - 1) // percent + 1))
     return low
 
 
@@ -107,7 +108,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """``doc``, ``n`` (set size), ``node`` (the set's hash, null for an empty set), ``sketch``, ``keys``."""
+    """``doc``, ``t`` (a hash of the text), ``n`` (set size), ``node`` (the set's hash, null for an empty set), ``sketch``, ``keys``."""
 
     many = pa.list_(pa.int64())
 
@@ -121,10 +122,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                         low = bands(percent, 2 * low[-1])
                     rows.append((len(s), set_id(s), narrow_sketch(s), block_keys(s, percent, low)) if len(s) else (0, None, None, None))
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), many, many))]
-            yield pa.RecordBatch.from_arrays([part.column("_id"), *columns], ["doc", "n", "node", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), *columns], ["doc", "t", "n", "node", "sketch", "keys"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    return given.mapInArrow(run, "doc long, n long, node long, sketch array<long>, keys array<long>")
+    given = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
+    return given.mapInArrow(run, "doc long, t long, n long, node long, sketch array<long>, keys array<long>")
 
 
 def _held(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -183,6 +184,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Repeated rows give repeated rows; rows that share an id link by each one's own text. Ties do not arise.
     Other columns are ignored. An empty table gives an empty result.
     """
+    rows = components(docs, id_col, text_col, words, percent)
+    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Every row's ``doc``, ``t`` (a hash of its text), ``n``, ``node`` (null for an empty set) and ``component``."""
     kept = Kept(docs.sparkSession, "neardup")
     all_rows = kept.keep(signatures(docs, id_col, text_col, words, percent), "signatures")
     rows = all_rows.filter(F.col("doc").isNotNull() & F.col("node").isNotNull())
@@ -230,16 +237,31 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     of_copies = firsts.filter("rows > 1").select("node", "first").join(of_set, "node", "left").select("node", F.coalesce("_c", "first").alias("_c"))
     linked = kept.keep(of_copies.unionByName(of_set.join(of_copies, "node", "left_anti")), "linked")
     kept.drop("met")
-    return all_rows.select("doc", "n", "node").join(linked, "node", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_c", "doc").alias("component_id"))
+    return all_rows.select("doc", "t", "n", "node").join(linked, "node", "left").select("doc", "t", "n", "node", F.coalesce("_c", "doc").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component. Rows without an id or without words stay."""
-    ids = similar(docs, words=words, percent=percent)
-    gone = ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _held(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, but for those that a row with a smaller id represents.
+
+    Rows without an id, and texts that are null or without words, stay. Rows of one id are judged each by its own text; of rows with
+    one id and one set of shingles, or with one id in one component, the first text stays, once.
+    """
+    kept = Kept(docs.sparkSession, "one-of-each")
+    rows = kept.keep(components(docs, "doc_id", "text", words, percent).filter("doc is not null and node is not null").select("doc", "t", "component"), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc", "t")).alias("k")).select(F.col("k.doc").alias("doc"), F.col("k.t").alias("t"))
+    texts = rows.groupBy("doc", "t").agg(F.count("*").alias("rows"))
+    gone = kept.keep(texts.join(first, ["doc", "t"], "left_anti").select("doc", "t"), "gone")
+    twice = kept.keep(texts.filter("rows > 1").join(first, ["doc", "t"], "left_semi").select("doc", "t"), "twice")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"))
+    left = _held(own, gone, ["doc", "t"], "left_anti")
+    if not twice.isEmpty():
+        left = _held(left, twice, ["doc", "t"], "left_anti").unionByName(_held(left, twice, ["doc", "t"], "left_semi").dropDuplicates(["doc", "t"]))
+    return left.select("row.*")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more. Null ids and texts, texts without words, repeated
+    rows, other columns and empty tables: as ``similar``.
+    """
     return similar(table(spark, sf_dir, "documents"), words=3, percent=90)

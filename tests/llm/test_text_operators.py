@@ -113,6 +113,11 @@ def test_language_families(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
     assert all(0 <= r["score"] <= 1 for r in got)
     assert langid.accepted(table, model).count() >= 0.97 * len(got)
+    # foreign scripts, foreign languages and random letters are told as some learned language, and not accepted
+    rng = random.Random(2)
+    foreign = ["Это довольно длинный текст на русском языке, который никто здесь не учил. " * 3, "这是一个很长的中文句子模型从来没有见过这样的文字" * 4, "Tämä on melko pitkä suomenkielinen teksti jota malli ei ole koskaan ennen nähnyt " * 3]
+    foreign += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(300)) for _ in range(20)]
+    assert [r["doc_id"] for r in langid.accepted(docs(spark, [*foreign, words["en"] * 4, words["fr"] * 4]), model).collect()] == [23, 24]
 
 
 def test_language_odd_rows(spark):
