@@ -25,11 +25,13 @@ class Ontology:
     @classmethod
     def read(cls, spark: SparkSession, path: str, fmt: str | None = None) -> Ontology:
         """``fmt``: ofn, nt, nq, rdfxml, ttl, obo or json (OBO graph); by the file's ending where it is not given."""
-        fmt = fmt or {"ofn": "ofn", "nt": "nt", "nq": "nt", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "ttl": "ttl", "obo": "obo"}.get(path.removesuffix(".gz").rsplit(".", 1)[-1], "")
+        fmt = fmt or {"ofn": "ofn", "nt": "nt", "nq": "nt", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "ttl": "ttl", "obo": "obo", "json": "json"}.get(path.removesuffix(".gz").rsplit(".", 1)[-1], "")
         if fmt == "ofn":
             return cls(axioms=ofn.read_ofn(spark, path))
         if fmt == "obo":
             return cls(statements=tables.obo_statements(tables.read_obo(spark, path)))
+        if fmt == "json":
+            return cls(statements=tables.obograph_statements(*tables.read_obograph(spark, path)))
         readers = {"nt": rdf.read_ntriples, "nq": rdf.read_ntriples, "rdfxml": rdf.read_rdfxml, "ttl": rdf.read_turtle}
         if fmt not in readers:
             raise ValueError(f"unknown format of {path!r}")

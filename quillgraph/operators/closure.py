@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from quillgraph.session import Kept
 
-MAX_ROUNDS = 200
-
 
 def closure(edges: DataFrame, by: tuple[str, ...] = ("predicate",), reflexive: bool = False, max_depth: int | None = None) -> DataFrame:
     """(``subject``, *by, ``object``, ``depth``): all reachable pairs with their least number of steps.
 
     Edges with different values of ``by`` do not compose. Each round extends only the pairs that the round before
     found, and keeps its pairs as a table, so neither work nor lineage grows with the rounds. Cycles end by
-    themselves: a pair is extended once. ``reflexive`` adds every node to itself at depth 0. ``max_depth`` ends the walk early; without
-    it a walk longer than ``MAX_ROUNDS`` is an error, never a cut.
+    themselves: a pair is extended once, so that the rounds are as many as the longest of the shortest walks, whatever that is. ``reflexive``
+    adds every node to itself at depth 0. ``max_depth`` ends the walk early.
     """
     kept = Kept(edges.sparkSession, "closure")
     keys = [*by]
@@ -25,8 +23,6 @@ def closure(edges: DataFrame, by: tuple[str, ...] = ("predicate",), reflexive: b
     seen = kept.keep(base.withColumn("depth", F.lit(1)), "d1")
     parts, fresh, depth = [seen], seen, 1
     while max_depth is None or depth < max_depth:
-        if depth > MAX_ROUNDS:
-            raise RuntimeError(f"closure is deeper than {MAX_ROUNDS}")
         grown = fresh.withColumnRenamed("object", "_mid").join(step, ["_mid", *keys]).select("subject", *keys, F.col("_next").alias("object")).distinct()
         for p in parts:
             grown = grown.join(p.select("subject", *keys, "object"), ["subject", *keys, "object"], "left_anti")
@@ -50,18 +46,22 @@ def closure(edges: DataFrame, by: tuple[str, ...] = ("predicate",), reflexive: b
     return out
 
 
-def paths(edges: DataFrame, by: tuple[str, ...] = ("predicate",), max_depth: int = 100) -> DataFrame:
-    """As ``closure``, but one row for each walk, as recursion without a cycle guard counts them. Walks beyond ``max_depth`` raise."""
+def paths(edges: DataFrame, by: tuple[str, ...] = ("predicate",)) -> DataFrame:
+    """As ``closure``, but one row for each walk, as recursion without a cycle guard counts them.
+
+    Rounds double the length: walks of exactly ``n`` steps, put before all shorter ones, give those of up to ``2n``. Walks of any
+    length are found; a cycle, which a walk comes back on within as many steps as it has edges, raises.
+    """
     kept = Kept(edges.sparkSession, "paths")
     keys = [*by]
-    base = kept.keep(edges.select("subject", *keys, "object"), "edges")
-    step = base.select(F.col("subject").alias("_mid"), *keys, F.col("object").alias("_next"))
-    fresh = base.withColumn("depth", F.lit(1))
-    out = fresh
-    for depth in range(2, max_depth + 2):
-        fresh = fresh.withColumnRenamed("object", "_mid").join(step, ["_mid", *keys]).select("subject", *keys, F.col("_next").alias("object"), F.lit(depth).alias("depth"))
-        fresh = kept.keep(fresh, f"d{depth}")
-        if fresh.isEmpty():
-            return out
-        out = out.unionByName(fresh)
-    raise RuntimeError(f"walks longer than {max_depth}: the edges have a cycle")
+    every = kept.keep(edges.select("subject", *keys, "object").withColumn("depth", F.lit(1)), "upto1")
+    last, length = every, 1
+    while True:
+        if not every.filter("subject = object").isEmpty():
+            raise RuntimeError("the edges have a cycle")
+        if last.isEmpty():
+            return every
+        front = last.select("subject", *keys, F.col("object").alias("_mid"), F.col("depth").alias("_n"))
+        longer = front.join(every.withColumnRenamed("subject", "_mid"), ["_mid", *keys]).select("subject", *keys, "object", (F.col("_n") + F.col("depth")).alias("depth"))
+        every = kept.keep(every.unionByName(longer), f"upto{2 * length}")
+        last, length = every.filter(F.col("depth") == 2 * length), 2 * length

@@ -57,37 +57,70 @@ def statements_of(quads: DataFrame, prefixes: dict[str, str] = PREFIXES) -> Data
 
 
 def _per_file(spark: SparkSession, path: str, parse, schema: str, columns: list[str]) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
+    """Each file's rows. Blank nodes belong to their file: their labels begin with a hash of its path."""
+    files = spark.read.text(path, wholetext=True).select("value", F.substr(F.sha1(F.col("_metadata.file_path")), F.lit(1), F.lit(12)).alias("scope"), F.col("_metadata.file_path").alias("at"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([r for text in part["value"] for r in parse(text)], columns=columns)
+            yield pd.DataFrame([r for text, scope, at in zip(part["value"], part["scope"], part["at"], strict=True) for r in parse(text, f"f{scope}", at)], columns=columns)
 
     return files.mapInPandas(run, schema)
 
 
-def parse_rdfxml(text: str) -> list[tuple[str, str, str, str]]:
+def resolved(base: str, x: str) -> str:
+    """An IRI reference against a base, by the rules of generic URI syntax."""
+    if re.match(r"^[A-Za-z][\w+.-]*:", x):
+        return x
+    m = re.match(r"^([A-Za-z][\w+.-]*:)(//[^/?#]*)?([^?#]*)(\?[^#]*)?", base)
+    if not m:
+        return base + x
+    scheme, host, at, query = m[1], m[2] or "", m[3], m[4] or ""
+    if x.startswith("//"):
+        return scheme + x
+    if not x or x[0] == "#":
+        return scheme + host + at + query + x
+    if x[0] == "?":
+        return scheme + host + at + x
+    tail = re.match(r"^([^?#]*)(.*)$", x, re.S)
+    if tail[1].startswith("/"):
+        whole = tail[1]
+    elif host and not at:
+        whole = "/" + tail[1]
+    else:
+        whole = at[: at.rfind("/") + 1] + tail[1]
+    out: list[str] = []
+    steps = whole.split("/")
+    for k, step in enumerate(steps):
+        if step in (".", ".."):
+            if step == ".." and len(out) > 1:
+                out.pop()
+            if k == len(steps) - 1:
+                out.append("")
+        else:
+            out.append(step)
+    return scheme + host + "/".join(out) + tail[2]
+
+
+def parse_rdfxml(text: str, scope: str = "", at: str = "") -> list[tuple[str, str, str, str]]:
+    """Quads of a document. ``scope`` begins the labels of its blank nodes, ``at`` is the base where the document has none."""
     out: list[tuple[str, str, str, str]] = []
     count = 0
 
     def fresh() -> str:
         nonlocal count
         count += 1
-        return f"_:genid{count}"
+        return f"_:{scope}genid{count}"
 
     def name(tag: str) -> str:
         return tag[1:].replace("}", "") if tag.startswith("{") else tag
 
-    def resolve(base: str, x: str) -> str:
-        return x if re.match(r"^[A-Za-z][\w+.-]*:", x) else base + x
-
     def literal(x: str, lang: str | None, kind: str | None) -> str:
         return f'"{x}"^^{kind}' if kind else f'"{x}"@{lang}' if lang else f'"{x}"^^{XSD}string'
 
     def node(e: ET.Element, base: str, lang: str | None) -> str:
         base, lang = e.get(XML + "base", base), e.get(XML + "lang", lang)
         a = lambda k: e.get(f"{{{RDF}}}{k}")
-        s = f"<{resolve(base, a('about'))}>" if a("about") is not None else f"<{resolve(base, '#' + a('ID'))}>" if a("ID") else f"_:{a('nodeID')}" if a("nodeID") else fresh()
+        s = f"<{resolved(base, a('about'))}>" if a("about") is not None else f"<{resolved(base, '#' + a('ID'))}>" if a("ID") else f"_:{scope}{a('nodeID')}" if a("nodeID") else fresh()
         if name(e.tag) != RDF + "Description":
             out.append(("", s, f"<{RDF}type>", f"<{name(e.tag)}>"))
         for k, v in e.attrib.items():
@@ -102,9 +135,9 @@ def parse_rdfxml(text: str) -> list[tuple[str, str, str, str]]:
         a = lambda k: p.get(f"{{{RDF}}}{k}")
         pred = f"<{name(p.tag)}>"
         if a("resource") is not None:
-            o = f"<{resolve(base, a('resource'))}>"
+            o = f"<{resolved(base, a('resource'))}>"
         elif a("nodeID"):
-            o = f"_:{a('nodeID')}"
+            o = f"_:{scope}{a('nodeID')}"
         elif a("parseType") == "Collection":
             cells = [node(k, base, lang) for k in p]
             o = f"<{RDF}nil>"
@@ -125,7 +158,7 @@ def parse_rdfxml(text: str) -> list[tuple[str, str, str, str]]:
         out.append(("", s, pred, o))
 
     root = ET.fromstring(text)
-    base = root.get(XML + "base", "")
+    base = root.get(XML + "base", at)
     for e in root if name(root.tag) == RDF + "RDF" else [root]:
         node(e, base, root.get(XML + "lang"))
     return out
@@ -135,20 +168,37 @@ def read_rdfxml(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, parse_rdfxml, QUADS, ["g", "s", "p", "o"])
 
 
-def parse_turtle(text: str) -> list[tuple[str, str, str, str]]:
-    """Turtle, by the SPARQL reader, whose triple blocks share its grammar."""
-    from quillgraph.sparql.parser import Parser
+_TURTLE = re.compile(
+    r'''"""(?:[^"\\]|\\.|"(?!""))*"""|'''
+    r"""'''(?:[^'\\]|\\.|'(?!''))*'''|"""
+    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|"""
+    r"""(?P<directive>(?:@prefix|\bprefix)\s+(?P<name>[\w.-]*):\s*<(?P<iri>[^>]*)>\s*\.?|(?:@base|\bbase)\s*<(?P<base>[^>]*)>\s*\.?)|"""
+    r"""<(?P<ref>[^<>"{}|^`\\\x00-\x20]*)>|(?P<comment>\#[^\n]*)""",
+    re.S | re.I,
+)
 
-    prefixes: dict[str, str] = {}
 
-    def note(m: re.Match) -> str:
-        prefixes[m[1]] = m[2]
-        return ""
+def parse_turtle(text: str, scope: str = "", at: str = "") -> list[tuple[str, str, str, str]]:
+    """Turtle, by the SPARQL reader, whose triple blocks share its grammar. Bases and prefixes hold from where they stand; ``scope`` and ``at`` as for RDF/XML."""
+    from quillgraph.sparql.parser import Parser
 
-    text = re.sub(r"(?im)^\s*@?prefix\s+([\w.-]*):\s*<([^>]*)>\s*\.?\s*$", note, text)
-    text = re.sub(r"(?im)^\s*@?base\s+<[^>]*>\s*\.?\s*$", "", text)
-    p = Parser("{" + text + "}", prefixes)
-    term = lambda t: t[1] if t[0] in ("term", "iri") else f"_:{t[1]}"
+    prefixes: dict[str, str] = {}
+    base = at
+
+    def read(m: re.Match) -> str:
+        nonlocal base
+        if m["directive"]:
+            if m["base"] is not None:
+                base = resolved(base, m["base"])
+            else:
+                prefixes[m["name"]] = resolved(base, m["iri"])
+            return " "
+        if m["comment"]:
+            return " "
+        return m[0] if m["ref"] is None else f"<{resolved(base, m['ref'])}>"
+
+    p = Parser("{" + _TURTLE.sub(read, text) + "}", prefixes)
+    term = lambda t: t[1] if t[0] in ("term", "iri") else f"_:{scope}{t[1]}"
     typed = lambda o: re.sub(r'"\^\^xsd:(\w+)$', lambda m: f'"^^{XSD}{m[1]}', o)
     return [("", term(s), term(q).replace("<rdf:", f"<{RDF}") if "rdf" not in prefixes else term(q), typed(term(o))) for _, s, q, o in p.group()[1]]
 

@@ -46,7 +46,9 @@ def parse_header(lines: list[str]) -> dict:
 
 def read_sssom(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame, dict]:
     """A mapping set's rows, absent cells null, and its metadata; the header is what stands before the first line without ``#``."""
-    head = [r[0] for r in spark.read.text(path).limit(2000).filter("value like '#%'").collect()]
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("value not like '#%' and trim(value) <> ''").agg(F.min("at")).first()[0]
+    head = [r[0] for r in lines.filter(F.col("value").startswith("#") & (F.lit(True) if first is None else F.col("at") < first)).orderBy("at").collect()]
     rows = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', comment="#")
     return rows.select(*[F.when(~F.col(f"`{c}`").isin(*ABSENT), F.col(f"`{c}`")).alias(c) for c in rows.columns]), parse_header(head)
 
@@ -105,6 +107,26 @@ def read_obograph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
+def obograph_statements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """An OBO graph as ``statements``: types, labels, definitions, deprecation; edges between classes by ``rdfs:subClassOf`` and, for other predicates, restrictions."""
+    null = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, s: Column, p: Column, o: Column | None, v: Column | None = None, kind: str = "xsd:string") -> DataFrame:
+        return df.select(s.alias("stanza"), s.alias("subject"), p.alias("predicate"), (null if o is None else o).alias("object"), (null if v is None else v).alias("value"), (null if v is None else F.lit(kind)).alias("datatype"), null.alias("language"))
+
+    kind = F.when(F.col("type") == "CLASS", "owl:Class").when(F.col("type") == "PROPERTY", "owl:ObjectProperty").when(F.col("type") == "INDIVIDUAL", "owl:NamedIndividual")
+    out = rows(nodes.filter(kind.isNotNull()), F.col("id"), F.lit("rdf:type"), kind)
+    out = out.union(rows(nodes.filter("label is not null"), F.col("id"), F.lit("rdfs:label"), None, F.col("label")))
+    out = out.union(rows(nodes.filter("definition is not null"), F.col("id"), F.lit("IAO:0000115"), None, F.col("definition")))
+    out = out.union(rows(nodes.filter("deprecated"), F.col("id"), F.lit("owl:deprecated"), None, F.lit("true"), "xsd:boolean"))
+    plain = ["rdfs:subClassOf", "rdfs:subPropertyOf", "rdf:type", "type", "subPropertyOf"]
+    own = F.when(F.col("predicate") == "type", "rdf:type").when(F.col("predicate") == "subPropertyOf", "rdfs:subPropertyOf").otherwise(F.col("predicate"))
+    out = out.union(rows(edges.filter(F.col("predicate").isin(plain)), F.col("subject"), own, F.col("object")))
+    node = F.concat(F.lit("_:"), F.substr(F.sha1(F.concat_ws("\u0001", "subject", "predicate", "object")), F.lit(1), F.lit(16)))
+    some = edges.filter(~F.col("predicate").isin(plain)).withColumn("n", node).select("subject", _restriction(F.col("subject"), F.col("n"), F.col("predicate"), F.col("object")).alias("t"))
+    return out.union(some.select("subject", "t.s", "t.p", "t.o", null, null, null))
+
+
 def read_context(spark: SparkSession, path: str) -> dict[str, str]:
     """The prefixes of a JSON-LD context: entries whose value is an IRI, or an object with one."""
     import json

@@ -39,7 +39,18 @@ def test_closure_with_cycle_and_depth(spark):
     out = {(s, p, o): d for s, p, o, d in got(closure(e))}
     assert out["a", "p", "c"] == 1 and out["a", "p", "a"] == 2 and ("a", "q", "z") not in out and len(out) == 10
     with pytest.raises(RuntimeError):
-        paths(e, max_depth=5)
+        paths(e)
+
+
+def test_walks_of_any_length(spark):
+    """A list of 150 cells is no cycle; two ways of one length are two rows."""
+    chain = [(f"n{i}", "p", f"n{i + 1}") for i in range(150)]
+    out = paths(edges(spark, chain))
+    assert out.count() == 150 * 151 // 2 and out.filter("subject = 'n0' and object = 'n150' and depth = 150").count() == 1
+    twice = paths(edges(spark, [("a", "p", "b"), ("a", "p", "c"), ("b", "p", "d"), ("c", "p", "d"), ("d", "p", "e")]), by=())
+    assert twice.filter("subject = 'a' and object = 'e'").count() == 2 and twice.count() == 5 + 2 + 1 + 1 + 2
+    with pytest.raises(RuntimeError):
+        paths(edges(spark, [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "b")]))
 
 
 def test_closure_is_idempotent_and_matches_a_plain_one(spark):
@@ -221,6 +232,36 @@ def test_readers(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"graphs": [{"id": "g", "nodes": [{"id": "a", "lbl": "A"}], "edges": [{"sub": "a", "pred": "is_a", "obj": "b"}]}]}')
     nodes, e = tables.read_obograph(spark, str(tmp_path / "g.json"))
     assert got(e) == {("a", SUB, "b")} and nodes.first()["label"] == "A"
+    (tmp_path / "h.json").write_text('{"graphs": [{"id": "g", "nodes": [{"id": "a", "lbl": "A", "type": "CLASS", "meta": {"definition": {"val": "d"}, "deprecated": true}}], "edges": [{"sub": "a", "pred": "is_a", "obj": "b"}, {"sub": "a", "pred": "part_of", "obj": "c"}]}]}')
+    o = Ontology.read(spark, str(tmp_path / "h.json")).statements
+    assert {("a", "rdf:type", "owl:Class", None), ("a", "rdfs:label", None, "A"), ("a", "IAO:0000115", None, "d"), ("a", "owl:deprecated", None, "true"), ("a", SUB, "b", None)} <= got(o.select("subject", "predicate", "object", "value")) and o.count() == 9
+
+
+def test_blank_nodes_belong_to_their_file(spark, tmp_path):
+    xml = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/"><rdf:Description><e:p>{}</e:p></rdf:Description><rdf:Description rdf:nodeID="n"><e:q rdf:resource="#x"/></rdf:Description></rdf:RDF>'
+    for kind, body in (("owl", xml), ("ttl", "@prefix e: <http://e/> .\n[] e:p \"{}\" .\n_:n e:q <#x> .")):
+        (tmp_path / kind).mkdir()
+        for i in (1, 2):
+            (tmp_path / kind / f"{i}.{kind}").write_text(body.format(i))
+        q = (rdf.read_rdfxml if kind == "owl" else rdf.read_turtle)(spark, str(tmp_path / kind))
+        assert q.select("s").distinct().count() == 4 and q.filter("s not like '\\_:%'").isEmpty()
+        assert {r["o"].rsplit("/", 1)[1] for r in q.filter("p = '<http://e/q>'").collect()} == {f"1.{kind}#x>", f"2.{kind}#x>"}
+
+
+def test_relative_references(spark):
+    """Examples of the generic URI syntax, and bases that change within a document."""
+    base = "http://a/b/c/d;p?q"
+    for ref, want in {"g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "#s": "http://a/b/c/d;p?q#s", "": base, "..": "http://a/b/", "../../g": "http://a/g", "../../../g": "http://a/g", "g?y#s": "http://a/b/c/g?y#s", "urn:x:y": "urn:x:y"}.items():
+        assert rdf.resolved(base, ref) == want, ref
+    text = "@base <http://e/one/> .\n@prefix p: <v#> .\n<a> p:x <../b> . # <not> read\nBASE <http://f/>\n<a> p:x \"<a> stays\" , <#c> ."
+    assert {r[1:] for r in rdf.parse_turtle(text)} == {("<http://e/one/a>", "<http://e/one/v#x>", "<http://e/b>"), ("<http://f/a>", "<http://e/one/v#x>", '"<a> stays"^^http://www.w3.org/2001/XMLSchema#string'), ("<http://f/a>", "<http://e/one/v#x>", "<http://f/#c>")}
+
+
+def test_long_headers_are_whole(spark, tmp_path):
+    lines = ["#curie_map:", *[f"#  P{i}: http://p/{i}/" for i in range(3000)], "#license: free", "subject_id\tpredicate_id", "a\tb", "#after: x", "c\td"]
+    (tmp_path / "m.tsv").write_text("\n".join(lines) + "\n")
+    rows, head = tables.read_sssom(spark, str(tmp_path / "m.tsv"))
+    assert rows.count() == 2 and len(head["curie_map"]) == 3000 and head["license"] == "free" and "after" not in head
 
 
 def test_curies_templates_and_export(spark):
@@ -259,3 +300,21 @@ def test_incremental_closure(spark, tmp_path):
         inc.add(spark.createDataFrame(rows[i : i + 2], "subject string, object string"))
     whole = closure(spark.createDataFrame(rows, "subject string, object string"), by=()).select("subject", "object")
     assert got(inc.pairs) == got(whole)
+    # a new object on the same folder goes on; a batch that comes again changes nothing
+    again = IncrementalClosure(spark, inc.at)
+    assert got(again.pairs) == got(whole)
+    again.add(spark.createDataFrame(rows[4:], "subject string, object string"), 2)
+    assert got(again.pairs) == got(whole)
+    again.add(spark.createDataFrame([("e", "f")], "subject string, object string"))
+    assert got(again.pairs.filter("object = 'f'")) == {(x, "f") for x in "abcdez"}
+
+
+def test_incremental_closure_goes_on_after_a_restart(spark, tmp_path):
+    schema = "subject string, object string"
+    for i, row in enumerate([("a", "b"), ("b", "c")]):
+        spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        inc = IncrementalClosure(spark)
+        query = inc.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "at"))
+        query.processAllAvailable()
+        query.stop()
+        assert got(inc.pairs) == ({("a", "b")} if i == 0 else {("a", "b"), ("b", "c"), ("a", "c")})
