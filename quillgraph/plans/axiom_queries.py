@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import axioms as ax
 from quillgraph.plans.view_sql import with_views
 from quillgraph.reason.el import Classification
-from quillgraph.sources.driver_tables import statements
+from quillgraph.sources.driver_tables import ODD_STATEMENTS, statements
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -60,9 +60,9 @@ def el_materialize(spark, sf_dir):
     return Classification(forms(spark, sf_dir)).materialised()
 
 
-def axiom_table(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def axiom_table(spark: SparkSession, sf_dir: str, where: str = "true", more: str = "") -> DataFrame:
     """Subclass and label axioms of the hierarchy; bodies are JSON made in the JVM."""
-    s = statements(spark, sf_dir).filter(where)
+    s = statements(spark, sf_dir, more).filter(where)
     sub = s.filter("predicate = 'rdfs:subClassOf' and object not like '\\\\_:%'").select(F.lit("SubClassOf").alias("type"), F.array(F.lit("SubClassOf"), "subject", "object").alias("x"), F.sort_array(F.array("subject", "object")).alias("signature"))
     label = s.filter("predicate = 'rdfs:label'").select(F.lit("AnnotationAssertion").alias("type"), F.array(F.lit("AnnotationAssertion"), F.lit("rdfs:label"), "subject", F.concat(F.lit('"'), "value", F.lit('"'))).alias("x"), F.array("subject").alias("signature"))
     body = F.to_json("x")
@@ -133,8 +133,8 @@ def module_mireot(spark, sf_dir):
     return _plain(ax.mireot(axiom_table(spark, sf_dir), _nations(spark, sf_dir)).dropDuplicates(["axiom_id"]))
 
 
-@_query("SELECT type, s, o FROM ax", _AX)
+@_query("SELECT DISTINCT type, s, o FROM ax WHERE type <> 'SubClassOf' OR NOT EXISTS (SELECT 1 FROM told t JOIN sups u ON u.subject = t.object WHERE t.subject = ax.s AND u.object = ax.o)", _AX | {"sups": _EL["sups"], "statements": ODD_STATEMENTS})
 def axiom_reduce(spark, sf_dir):
-    """A tree has no redundant edge, and shortcuts added to it go."""
-    a = axiom_table(spark, sf_dir).dropDuplicates(["axiom_id"])
+    """Without the subclass axioms that others imply: of the odd classes, those that lead past their nation."""
+    a = axiom_table(spark, sf_dir, "subject not like '\\_:%'", "odd").dropDuplicates(["axiom_id"])
     return _plain(ax.reduce(a))

@@ -10,7 +10,7 @@ from quillgraph.operators.closure import closure
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.view_sql import with_views
 from quillgraph.plans.views import Views
-from quillgraph.sources.driver_tables import statements
+from quillgraph.sources.driver_tables import LOOP_STATEMENTS, statements
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -92,9 +92,9 @@ def components(spark, sf_dir):
     return connected_components(_edges(spark, sf_dir).filter("predicate = 'rdfs:subClassOf'"), "subject", "object")
 
 
-@_query("SELECT subject, predicate FROM entailed_edge WHERE subject = object GROUP BY 1, 2", _UP)
+@_query("SELECT subject, predicate FROM entailed_edge WHERE subject = object GROUP BY 1, 2", _UP | {"statements": LOOP_STATEMENTS})
 def cycle_listing(spark, sf_dir):
-    return graph.cycles(_edges(spark, sf_dir))
+    return graph.cycles(Views(statements(spark, sf_dir, "loop"))["edge"])
 
 
 @_query("SELECT subject, object FROM entailed_edge WHERE predicate = 'rdfs:subPropertyOf'", _UP)
@@ -125,12 +125,12 @@ def kgx_nodes(spark, sf_dir):
     return _kgx(spark, sf_dir)[1]
 
 
-@_query()
+@_query("SELECT DISTINCT sha1(concat_ws(chr(1), subject, predicate, object)) AS id, subject, predicate, object FROM edge")
 def kgx_edges(spark, sf_dir):
     return _kgx(spark, sf_dir)[0]
 
 
-@_query("SELECT subject, object FROM tree WHERE subject NOT IN (SELECT object FROM tree) OR true", _UP)
+@_query("SELECT DISTINCT subject, object FROM tree WHERE subject <> object", _UP)
 def span_gaps_nothing_removed(spark, sf_dir):
     """Without removed classes all edges stay."""
     edges = _edges(spark, sf_dir).filter("predicate = 'rdfs:subClassOf'").select("subject", "object")
@@ -213,9 +213,16 @@ def strings_to_embed(spark, sf_dir):
     return text.strings_to_embed(statements(spark, sf_dir)).select("iri", "string_type", "text_to_embed")
 
 
-@_query()
+_TOKENS = {
+    "words": "SELECT DISTINCT p_name AS name, unnest(string_split(trim(regexp_replace(lower(p_name), ' +', ' ', 'g'), ' '), ' ')) AS w FROM part",
+    "sizes": "SELECT name, count(*) AS n FROM words GROUP BY 1",
+    "shared": "SELECT a.name AS query, b.name AS iri, count(*) AS n FROM words a JOIN words b ON a.w = b.w GROUP BY 1, 2",
+}
+
+
+@_query("SELECT s.query, s.iri, s.n / (x.n + y.n - s.n) AS score FROM shared s JOIN sizes x ON x.name = s.query JOIN sizes y ON y.name = s.iri WHERE s.n / (x.n + y.n - s.n) >= 0.5", _TOKENS)
 def token_jaccard(spark, sf_dir):
-    """Part names against part types, by their words."""
+    """Part names against part names, by their words."""
     part = _read(spark, sf_dir, "part")
     return text.token_jaccard(part.select(F.col("p_name").alias("query")).distinct(), part.select(F.col("p_name").alias("iri"), F.col("p_name").alias("label")).distinct(), 0.5)
 

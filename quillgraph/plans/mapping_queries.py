@@ -99,14 +99,23 @@ def map_cardinality(spark, sf_dir):
     return m.cardinality(mappings(spark, sf_dir), scope=("object_category",))
 
 
-@_query()
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mappings to their customers: a clique for each customer."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("subject_id"), F.lit("skos:exactMatch").alias("predicate_id"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("object_id"))
+
+
+_ORDERED = "SELECT concat('order:', CAST(o_orderkey AS VARCHAR)) AS subject_id, concat('customer:', CAST(o_custkey AS VARCHAR)) AS object_id FROM orders"
+
+
+@_query(f"SELECT DISTINCT subject_id, object_id, least(min(subject_id) OVER (PARTITION BY object_id), object_id) AS component FROM ({_ORDERED}) x")
 def map_partition(spark, sf_dir):
-    return m.partition(mappings(spark, sf_dir)).select("subject_id", "object_id", "component").distinct()
+    return m.partition(ordered(spark, sf_dir)).select("subject_id", "object_id", "component").distinct()
 
 
-@_query()
+@_query(f"SELECT min(node) AS component, count(*) AS size, string_agg(node, '|' ORDER BY node) AS members FROM (SELECT DISTINCT subject_id AS node, object_id AS clique FROM ({_ORDERED}) x UNION SELECT object_id, object_id FROM ({_ORDERED}) y) z GROUP BY clique")
 def map_cliquesummary(spark, sf_dir):
-    return m.clique_summary(mappings(spark, sf_dir))
+    return m.clique_summary(ordered(spark, sf_dir))
 
 
 @_query("SELECT *, lower(concat('part_', split_part(predicate_id, ':', 2), '_supplier')) AS key FROM maps")

@@ -87,6 +87,83 @@ SPEC = (
 )
 
 
+_ODD = _id("odd", "n_nationkey")
+
+#: Statements that break a rule, or that no other row of ``SPEC`` has, for the views and the quality rules.
+ODD = [
+    _rows(
+        "nation",
+        (_ODD, "rdf:type", "'owl:Class'", None, None),
+        (_ODD, "rdfs:label", None, "concat('odd ', n_name)", _STRING),
+        (_ODD, "rdfs:subClassOf", _id("nation", "n_nationkey"), None, None),
+        (_ODD, "rdfs:subClassOf", _id("region", "n_regionkey"), None, None),
+        (_ODD, "rdfs:subClassOf", _id("_:og", "n_nationkey"), None, None),
+        (_id("_:og", "n_nationkey"), "rdf:type", "'owl:Restriction'", None, None),
+        (_id("_:og", "n_nationkey"), "owl:onProperty", "'rel:gone'", None, None),
+        (_id("_:og", "n_nationkey"), "owl:someValuesFrom", _id("nation", "n_nationkey"), None, None),
+        (_ODD, "rel:gone", _id("nation", "n_nationkey"), None, None),
+        (_ODD, "owl:equivalentClass", _id("nation", "n_nationkey"), None, None),
+        (_ODD, "owl:equivalentClass", _id("_:on", "n_nationkey"), None, None),
+        (_id("_:on", "n_nationkey"), "rdf:type", "'owl:Restriction'", None, None),
+        (_id("_:on", "n_nationkey"), "owl:onProperty", "'rel:located_in'", None, None),
+        (_id("_:on", "n_nationkey"), "owl:someValuesFrom", _id("region", "n_regionkey"), None, None),
+        (_ODD, "owl:equivalentClass", _id("_:oi", "n_nationkey"), None, None),
+        (_id("_:oi", "n_nationkey"), "owl:intersectionOf", _id("_:ol", "n_nationkey"), None, None),
+        (_id("_:ol", "n_nationkey"), "rdf:first", _ODD, None, None),
+        (_id("_:ol", "n_nationkey"), "rdf:rest", _id("_:om", "n_nationkey"), None, None),
+        (_id("_:om", "n_nationkey"), "rdf:first", _id("region", "n_regionkey"), None, None),
+        (_id("_:om", "n_nationkey"), "rdf:rest", "'rdf:nil'", None, None),
+        (_ODD, "owl:equivalentClass", _id("_:oj", "n_nationkey"), None, None),
+        (_id("_:oj", "n_nationkey"), "owl:intersectionOf", _id("_:om", "n_nationkey"), None, None),
+        (_ODD, "owl:disjointWith", _id("region", "n_regionkey"), None, None),
+        (_id("_:oc", "n_nationkey"), "owl:complementOf", _ODD, None, None),
+        (_id("_:oa", "n_nationkey"), "owl:onProperty", "'rel:odd'", None, None),
+        (_id("_:oa", "n_nationkey"), "owl:allValuesFrom", _ODD, None, None),
+        (_id("_:ov", "n_nationkey"), "owl:onProperty", "'rel:odd'", None, None),
+        (_id("_:ov", "n_nationkey"), "owl:hasValue", _id("oddi", "n_nationkey"), None, None),
+        (_id("_:os", "n_nationkey"), "owl:onProperty", "'rel:odd'", None, None),
+        (_id("_:os", "n_nationkey"), "owl:hasSelf", None, "'true'", _BOOLEAN),
+        (_id("oddi", "n_nationkey"), "owl:sameAs", _id("oddj", "n_nationkey"), None, None),
+        (_ODD, "IAO:0000115", None, "lower(n_name)", _STRING),
+        (_ODD, "IAO:0000115", None, "concat('The ', n_name)", _STRING),
+        (_ODD, "oio:hasExactSynonym", None, "n_name", _STRING),
+        (_ODD, "oio:hasBroadSynonym", None, "n_name", _STRING),
+        (_ODD, "oio:hasNarrowSynonym", None, "lower(n_name)", _STRING),
+        (_ODD, "oio:hasRelatedSynonym", None, "concat(n_name, '-like')", _STRING),
+        (_ODD, "skos:hasBroadMatch", _id("region", "n_regionkey"), None, None),
+        (_ODD, "skos:hasNarrowMatch", _id("n", "n_nationkey"), None, None),
+        (_ODD, "skos:hasRelatedMatch", _id("nation", "n_nationkey"), None, None),
+        (_ODD, "oio:inSubset", "'odd:subset'", None, None),
+        (_ODD, "oio:inSubset", None, "n_name", _STRING),
+        (_id("_:oy", "n_nationkey"), "oio:hasSynonymType", "'odd:type'", None, None),
+        (_ODD, "dc:creator", None, "n_name", _STRING),
+        (_ODD, "dcterms:contributor", _id("orcid", "n_nationkey"), None, None),
+        (_ODD, "dcterms:date", None, "'2024-1-1'", "'xsd:date'"),
+        (_ODD, "dcterms:issued", None, "'2024-01-01'", "'xsd:date'"),
+        (_ODD, "rdfs:seeAlso", None, "n_name", _STRING),
+        (_ODD, "RO:0002161", _id("nation", "n_nationkey"), None, None),
+        (_ODD, "RO:0002162", "'NCBITaxon:9606'", None, None),
+        (_ODD, "IAO:0000233", None, "'issue 1'", _STRING),
+        (_id("http://purl.org/obo/X", "n_nationkey"), "rdf:type", "'owl:Class'", None, None),
+    ),
+    _rows("nation", (_ODD, "owl:deprecated", None, "'true'", _STRING), (_ODD, "rdfs:label", None, "concat(n_name, chr(9), 'x')", _STRING), where="n_nationkey < 9"),
+    _rows("nation", (_ODD, "rdfs:label", None, "concat('obsolete ', n_name)", _STRING), (_ODD, "rdfs:label", None, "concat('see https://x/', n_name)", _STRING), (_ODD, "IAO:0100001", _id("nation", "n_nationkey"), None, None), (_ODD, "IAO:0100001", _id("n", "n_nationkey"), None, None), where="n_nationkey > 16"),
+    _rows("nation", (_ODD, "owl:deprecated", None, "'true'", _BOOLEAN), where="n_nationkey > 20"),
+    _rows(
+        _ONE,
+        ("'rel:gone'", "rdf:type", "'owl:ObjectProperty'", None, None),
+        ("'rel:gone'", "owl:deprecated", None, "'true'", _BOOLEAN),
+        ("'rel:odd'", "rdf:type", "'owl:Property'", None, None),
+        ("'rel:odd'", "rdfs:subPropertyOf", "'rel:gone'", None, None),
+        ("'rdf:type'", "rdfs:label", None, "'is a'", _STRING),
+        ("'http://example.org/tables'", "owl:imports", "'http://example.org/other'", None, None),
+        ("'http://example.org/tables'", "pav:status", None, "'draft'", _STRING),
+    ),
+]
+#: Two classes below one another, and two relations that lead back.
+LOOP = [_rows("nation", (_ODD, "rdfs:subClassOf", _id("loop", "n_nationkey"), None, None), (_id("loop", "n_nationkey"), "rdfs:subClassOf", _ODD, None, None), where="n_nationkey < 5")]
+
+
 _NULL = "CAST(NULL AS VARCHAR(200))"
 _TABLES = ("region", "nation", "customer", "supplier", "part")
 
@@ -98,21 +175,38 @@ def _fields(row: Row) -> list[str]:
 
 _NAMES = ("stanza", "subject", "predicate", "object", "value", "datatype", "language")
 
-#: For DuckDB: one arm for each kind of row.
-STATEMENTS = " UNION ALL ".join(
-    "SELECT " + ", ".join(f"{x} AS {n}" for x, n in zip(_fields(row), _NAMES, strict=True)) + f" FROM {source} WHERE {where}" for source, where, rows in SPEC for row in rows
-)
+def _sql(spec: list) -> str:
+    """For DuckDB: one arm for each kind of row."""
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{x} AS {n}" for x, n in zip(_fields(row), _NAMES, strict=True)) + f" FROM {source} WHERE {where}" for source, where, rows in spec for row in rows)
+
+
+_SPECS = {"": SPEC, "odd": SPEC + ODD, "loop": SPEC + ODD + LOOP}
+STATEMENTS, ODD_STATEMENTS, LOOP_STATEMENTS = (_sql(x) for x in _SPECS.values())
+
+_loaded: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, tables: dict[str, DataFrame]) -> tuple:
+    """What changes when a file does: its place, length and time."""
+    path, conf, out = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration(), []
+    for df in tables.values():
+        for name in df.inputFiles():
+            at = path(name)
+            status = at.getFileSystem(conf).getFileStatus(at)
+            out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
-_loaded: dict[tuple[str, str], DataFrame] = {}
 
+def statements(spark: SparkSession, sf_dir: str, more: str = "") -> DataFrame:
+    """region, nation, customer, supplier and part as ``statements``: one scan of each, kept as a table for as long as the session and the files stay the same.
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region, nation, customer, supplier and part as ``statements``: one scan of each, kept as a table for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    ``more``: ``odd`` adds statements that break rules, ``loop`` cycles as well.
+    """
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES}
+    key = (spark.sparkContext.applicationId, sf_dir, more, _stamp(spark, tables))
     if key not in _loaded:
-        tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES}
         out = None
-        for source, where, rows in SPEC:
+        for source, where, rows in _SPECS[more]:
             base = tables[source] if source in tables else spark.range(1)
             structs = ", ".join("named_struct(" + ", ".join(f"'{n}', {x}" for n, x in zip(_NAMES, _fields(row), strict=True)) + ")" for row in rows)
             part = base.filter(where).selectExpr(f"inline(array({structs}))")
