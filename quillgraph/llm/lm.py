@@ -12,7 +12,8 @@ the n-grams that occur in it, and these requests meet in shards of a hash of the
 counts of all chunks, over all of the corpus, and answers every chunk. A chunk then has the part of the automaton that
 its own documents can reach, exactly as the whole one has it, and runs them through, all texts in step. Requests and answers are
 packed arrays, not rows. With more than ``cells`` pairs of a chunk and a shard, requests take two hops, over groups of chunks, so that the
-number of rows grows with the power 1.5 of the corpus, not 2. No vocabulary is cut, and no n-gram is pruned. N-grams are known by 64-bit hashes.
+number of rows grows with the power 1.5 of the corpus, not 2. No vocabulary is cut, and no n-gram is pruned. Words are known by 64-bit hashes,
+longer n-grams by hashes with ``SPARE_BITS`` more than the corpus has bytes, 64 at most: fewer than one of 2**27 shares its hash with another.
 
 Null texts count as empty and consist of the end token. A document without an id is scored and not learned from. Repeated
 rows count each time. Extra columns are ignored. An empty table gives an empty result.
@@ -37,9 +38,10 @@ from quillgraph.session import Kept
 
 ORDER = 3
 MU = 30.0
-CHUNK_BYTES = 10 << 20
-SHARD_BYTES = 20 << 20
-CELLS = 1 << 22
+CHUNK_BYTES = 7 << 20
+SHARD_BYTES = 8 << 20
+CELLS = 1 << 25
+SPARE_BITS = 28
 #: Longer texts are walked in pieces of so many tokens, each entered over the two tokens before it.
 PIECE = 256
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -60,7 +62,7 @@ def sequences(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), begins
 
 
-def grams(tokens: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
+def grams(tokens: np.ndarray, begins: np.ndarray, order: int, bits: int = 64) -> np.ndarray:
     """For each token the hash of the n-gram that it ends; a begin mark stands before a text. A text's first token ends no
     trigram: it has the hash of its bigram again, which is asked for and not used.
     """
@@ -70,7 +72,13 @@ def grams(tokens: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
         before[1:] = h[:-1]
         before[begins[:-1]] = _BEGIN
         h = mix(before * np.uint64(0x9FB21C651E98DF25) + tokens)
-    return h
+    return h if order == 1 else h & np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
+def numbered(tokens: np.ndarray, begins: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, sorted, and each token's number among them."""
+    have, number = np.unique(grams(tokens, begins, order, bits), return_inverse=True)
+    return have, number.astype(np.int32)
 
 
 class Automaton:
@@ -92,38 +100,45 @@ class Automaton:
         # states
         known1 = c1 > 0
         known1[end] = False
-        state1 = np.zeros(len(c1), np.int64)
-        state1[known1] = 2 + np.arange(known1.sum())
-        some2 = np.empty(len(c2), np.int64)  # a token that ends each pair
-        some2[pair[::-1]] = np.arange(len(pair))[::-1]
+        ones = int(known1.sum())
+        state1 = np.zeros(len(c1), np.int32)
+        state1[known1] = 2 + np.arange(ones, dtype=np.int32)
+        some2 = np.empty(len(c2), np.int32)  # a token that ends each pair
+        some2[pair[::-1]] = np.arange(len(pair), dtype=np.int32)[::-1]
         last = word[some2]
         known2 = (c2 > 0) & (last != end)
-        state2 = np.zeros(len(c2), np.int64)
-        state2[known2] = 2 + known1.sum() + np.arange(known2.sum())
+        state2 = np.zeros(len(c2), np.int32)
+        state2[known2] = 2 + ones + np.arange(known2.sum(), dtype=np.int32)
         self.root_to = state1
-        self.fail = np.concatenate(([0, 0], np.zeros(known1.sum(), np.int64), state1[last[known2]]))
-        seen = np.concatenate(([1.0, begun], c1[known1], c2[known2]))
-        self.fail_weight = np.log10(mu / (seen + mu))
+        self.fail = np.concatenate((np.zeros(2 + ones, np.int32), state1[last[known2]]))
+        self.fail_weight = np.log10(mu / (np.concatenate(([1.0, begun], c1[known1], c2[known2])) + mu))
         self.fail_weight[0] = 0.0
+        del known2
 
         # arcs of one-word histories: pairs that were seen
-        arc2 = np.flatnonzero(c2 > 0)
-        at = some2[arc2]
-        from2 = np.where(first[at], 1, state1[word[at - 1]])
-        h = np.where(first[at], begun, c1[word[at - 1]])
+        arc2 = np.flatnonzero(c2 > 0).astype(np.int32)
+        at, last = some2[arc2], last[arc2]
+        begin = first[at]
+        h = np.where(begin, begun, c1[word[at - 1]])
         p2 = np.zeros(len(c2))
-        p2[arc2] = (c2[arc2] + mu * smooth[last[arc2]]) / (h + mu)
+        p2[arc2] = (c2[arc2] + mu * smooth[last]) / (h + mu)
+        key2 = np.where(begin, 1, state1[word[at - 1]]).astype(np.int64) * self.words + last
+        del h, at, begin, some2, last
         # of two-word histories: triples that were seen; a text's first token ends none
-        some3 = np.full(len(c3), -1, np.int64)
-        inside = np.flatnonzero(~first)
+        some3 = np.full(len(c3), -1, np.int32)
+        inside = np.flatnonzero(~first).astype(np.int32)
         some3[triple[inside[::-1]]] = inside[::-1]
-        arc3 = np.flatnonzero((c3 > 0) & (some3 >= 0))
+        arc3 = np.flatnonzero((c3 > 0) & (some3 >= 0)).astype(np.int32)
         at3 = some3[arc3]
+        del some3, inside
         p3 = (c3[arc3] + mu * p2[pair[at3]]) / (c2[pair[at3 - 1]] + mu)
-        keys = np.concatenate([from2 * self.words + last[arc2], state2[pair[at3 - 1]] * self.words + word[at3]])
-        order = np.argsort(keys)
+        keys = np.concatenate([key2, state2[pair[at3 - 1]].astype(np.int64) * self.words + word[at3]])
+        del key2, arc3
+        order = np.argsort(keys).astype(np.int32)
         self.arcs = keys[order]
-        self.weight = np.log10(np.concatenate([p2[arc2], p3]))[order]
+        del keys
+        self.weight = np.log10(np.concatenate([p2[arc2], p3])[order])
+        del p2, p3
         self.to = np.concatenate([state2[arc2], state2[pair[at3]]])[order]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +146,7 @@ class Automaton:
         to, weight = self.root_to[word], self.root_weight[word]
         live, now, paid = np.flatnonzero(state), state[state > 0], np.zeros(len(state))
         while len(live) and len(self.arcs):
-            key = now * self.words + word[live]
+            key = now.astype(np.int64) * self.words + word[live]
             at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
             has = self.arcs[at] == key
             to[live[has]], weight[live[has]] = self.to[at[has]], self.weight[at[has]]
@@ -154,7 +169,7 @@ class Automaton:
         nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
         at = self.begins[:-1][text] + nth * PIECE
         left = np.minimum(self.begins[1:][text] - at, PIECE)
-        state = np.where(nth == 0, 1, 0)
+        state = np.where(nth == 0, 1, 0).astype(np.int32)
         later = nth > 0
         for back in (2, 1):  # any two tokens put the automaton in the state that it has after the whole text before them
             state[later], _ = self.step(state[later], self.word[at[later] - back])
@@ -169,17 +184,17 @@ class Automaton:
         return np.bincount(text, score, minlength=len(size))
 
 
-def packed_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, and their counts."""
-    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes + packed_counts(counts, press=False))
+def packed_keys(keys: np.ndarray, counts: np.ndarray, bits: int = 64) -> bytes:
+    """Sorted keys as differences, byte by byte, and their counts. Keys have zeros below their first ``bits`` bits."""
+    planes = np.diff(keys >> np.uint64(64 - bits), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes + packed_counts(counts, press=False) + bytes([bits]))
 
 
 def unpacked_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    wide = raw[-1]
-    n = (len(raw) - 1) // (8 + wide)
-    keys = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view(np.uint64).ravel())
+    wide, bits = raw[-2:]
+    n = (len(raw) - 2) // (8 + wide)
+    keys = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view(np.uint64).ravel()) << np.uint64(64 - bits)
     return keys, np.frombuffer(raw, f"u{wide}", n, 8 * n)
 
 
@@ -269,7 +284,7 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInPandas(answer, _ANSWERED)
 
 
-def _two_hops(asked: DataFrame, near: int, shards: int, group: int) -> DataFrame:
+def _two_hops(asked: DataFrame, near: int, shards: int, group: int, bits: int) -> DataFrame:
     """As ``_answered``, for chunks that asked ``near`` coarse shards: groups of chunks ask ``shards`` fine ones and hand the answers on."""
     dealt = asked.withColumn("g", F.floor(F.col("chunk") / group).cast("int"))
 
@@ -280,7 +295,7 @@ def _two_hops(asked: DataFrame, near: int, shards: int, group: int) -> DataFrame
         for name in _NAMES:
             have, total, _, _ = _gathered(part[name])
             cut = _cuts(have, low, high, shards)
-            blobs.append([packed_keys(have[a:b], total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+            blobs.append([packed_keys(have[a:b], total[a:b], 64 if name == "k1" else bits) for a, b in zip(cut[:-1], cut[1:], strict=True)])
         texts = int(part["texts"].sum())
         return pd.DataFrame([(low + j, g, *b, texts if j == 0 else 0) for j, b in enumerate(zip(*blobs, strict=True))], columns=["shard", "chunk", *_NAMES, "texts"])
 
@@ -311,7 +326,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     kept = Kept(docs.sparkSession, "lm")
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(16))).first()[0] or 0
     chunks, shards = max(1, -(-size // chunk_bytes)), max(1, -(-size // shard_bytes))
-    two = chunks * shards > cells
+    two, bits = chunks * shards > cells, min(64, SPARE_BITS + int(size).bit_length())
     asks = max(1, isqrt(shards)) if two else shards
     packs = _packed(docs, id_col, text_col, chunks, held, modulus)
 
@@ -321,16 +336,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         taught = np.repeat(learn, np.diff(begins))
         blobs = []
         for order in range(1, ORDER + 1):
-            have, number = np.unique(grams(tokens, begins, order), return_inverse=True)
+            have, number = numbered(tokens, begins, order, bits)
             count = np.bincount(number[taught], minlength=len(have))
             # equal ranges of shards, as many fine ones in each as there will be in the second hop
             cut = _cuts(have, 0, shards, shards)[[s * shards // asks for s in range(asks + 1)]]
-            blobs.append([packed_keys(have[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+            blobs.append([packed_keys(have[a:b], count[a:b], 64 if order == 1 else bits) for a, b in zip(cut[:-1], cut[1:], strict=True)])
         rows = [(s, key[0], *b, int(learn.sum()) if s == 0 else 0) for s, b in enumerate(zip(*blobs, strict=True))]
         return pd.DataFrame(rows, columns=["shard", "chunk", *_NAMES, "texts"])
 
     asked = packs.groupBy("chunk").applyInPandas(ask, _ASKED)
-    answered = kept.keep(_two_hops(asked, asks, shards, max(1, isqrt(chunks))) if two else _answered(asked), "answers")
+    answered = kept.keep(_two_hops(asked, asks, shards, max(1, isqrt(chunks)), bits) if two else _answered(asked), "answers")
     sums = answered.agg(F.sum("types"), F.sum("tokens"), F.sum("texts")).first()
     types, total, begun = (int(x or 0) for x in sums)
 
@@ -342,7 +357,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         told = told.sort_values("shard")
         counts, numbers = [], []
         for order, name in enumerate(_NAMES, 1):
-            have, number = np.unique(grams(tokens, begins, order), return_inverse=True)
+            have, number = numbered(tokens, begins, order, bits)
             counts.append(np.concatenate([unpacked_counts(b) for b in told[name]]).astype(np.float64))
             numbers.append(number)
             if order == 1:
