@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Buckets whose sizes are summed in one task, when numbering.
 SPAN = 4096
+#: Tables of ids and hashes (8 bytes each) are broadcast up to so many rows.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,13 @@ def crc_mod(doc_id: str, divisor: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(divisor))
 
 
+def joined(df: DataFrame, kept: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with a written table of a few ids and hashes a row: broadcast while it has ``BROADCAST_ROWS`` at most, so that a hot key stays where it is;
+    beyond that by a shuffle, in which adaptive execution splits hot keys.
+    """
+    return df.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, on, how)
+
+
 def numbered(df: DataFrame, within: list[str], bucket: str, order: list, out: str) -> DataFrame:
     """Gapless numbers from 0 within ``within``, in the order of (``bucket``, ``order``).
 

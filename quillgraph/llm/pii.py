@@ -4,7 +4,9 @@ Entities are found by patterns and checked by what their type demands (check dig
 comes from a keyed hash of its normal form, so that the same entity gets the same surrogate in every document and spelling,
 and a surname after a title alone has the one that it has in the full name. Before use, surrogates are checked against one another and
 against all entities of the corpus: an entity whose surrogate is taken, or is someone's real value, draws again with the next
-attempt, until all are distinct. Everything is DataFrame functions: no Python runs on the executors.
+attempt, until all are distinct; from the ``GROWN``-th on, surrogates get longer, so that spaces which the corpus fills (all mailboxes of
+one letter) do not run out. A person's surrogate does not depend on the title before the name: a first name's gender is what lists of names say, else
+what all titles in the corpus say. Everything is DataFrame functions: no Python runs on the executors.
 
 Types: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (with check digit), IBANs (with check digits), US social
 security numbers, and names (after a title, or after a common first name).
@@ -22,6 +24,9 @@ from quillgraph.session import Kept
 
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "name")
 MAX_ATTEMPTS = 40
+GROWN = 6
+#: Entities that one task works on.
+TASK_ROWS = 2000
 
 #: Titles and common first names, by the gender they tell.
 TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Sig|господин"
@@ -127,18 +132,29 @@ def _kind(m: Column) -> Column:
     return out
 
 
+_TITLE = f"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\\.? "
+_UNTITLED = f"^(?:(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\\.? )?"
+
+
+def _words(m: Column) -> Column:
+    """A name's words without its title."""
+    return F.split(F.regexp_replace(m, _TITLE, ""), " ")
+
+
 def _parts(m: Column, kind: Column) -> Column:
-    """What of a match is looked up: (part kind, normal form). A name has one for each of its words but the title, all others one."""
-    title = f"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\\.? "
-    words = F.split(F.regexp_replace(m, title, ""), " ")
-    male, female = m.rlike(f"^(?:(?:{TITLES_M})\\.? |(?:{MALE}) )"), m.rlike(f"^(?:(?:{TITLES_F})\\.? |(?:{FEMALE}) )")
-    gender = F.when(male, "m").when(female, "f").otherwise("n")
+    """What of a match is looked up: (part kind, normal form, gender by list, gender by title). A name has one for each of its words but the title, all others one."""
+    words = _words(m)
+    listed = F.when(m.rlike(f"{_UNTITLED}(?:{MALE}) "), "m").when(m.rlike(f"{_UNTITLED}(?:{FEMALE}) "), "f")
+    titled = F.when(m.rlike(f"^(?:{TITLES_M})\\.? "), "m").when(m.rlike(f"^(?:{TITLES_F})\\.? "), "f")
     script = lambda w: F.when(w.rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    none = F.lit(None).cast("string")
     name = F.transform(
         words,
         lambda w, i: F.struct(
-            F.when((i == 0) & (F.size(words) > 1), F.concat_ws("_", F.lit("first"), gender, script(w))).otherwise(F.concat_ws("_", F.lit("last"), script(w))).alias("part"),
+            F.when((i == 0) & (F.size(words) > 1), F.concat_ws("_", F.lit("first"), script(w))).otherwise(F.concat_ws("_", F.lit("last"), script(w))).alias("part"),
             F.lower(w).alias("norm"),
+            F.when((i == 0) & (F.size(words) > 1), listed).alias("listed"),
+            F.when((i == 0) & (F.size(words) > 1), titled).alias("titled"),
         ),
     )
     code = F.when(m.startswith("+"), F.regexp_extract(m, "^\\+([0-9]*)", 1)).otherwise("")
@@ -148,25 +164,42 @@ def _parts(m: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .otherwise(F.lower(m))
     )
-    return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("part"), norm.alias("norm"))))
+    return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("part"), norm.alias("norm"), none.alias("listed"), none.alias("titled"))))
 
 
-def _drawn(part: Column, norm: Column, key: str, attempt: int) -> Column:
+def _gendered(parts: DataFrame) -> DataFrame:
+    """(``part``, ``norm``, ``gender``) of all entities: of a first name, what the lists say, else what all its titles say, if they agree."""
+    found = parts.groupBy("part", "norm").agg(F.min("listed").alias("listed"), F.min("titled").alias("low"), F.max("titled").alias("high"))
+    gender = F.coalesce("listed", F.when(F.col("low") == F.col("high"), F.col("low")), F.lit("n"))
+    return found.select("part", "norm", F.when(F.col("part").startswith("first"), gender).alias("gender"))
+
+
+def _drawn(part: Column, norm: Column, gender: Column, key: str, attempt: int) -> Column:
     """The surrogate of a normal form, itself a normal form."""
     h = _digest(key, F.concat_ws("|", part, norm, F.lit(str(attempt))))
+    more = max(0, attempt + 1 - GROWN)
+
+    def longer(text: Column, like: str) -> Column:
+        """The text with as many more characters like ``like`` as the attempt asks for."""
+        return F.concat(text, F.lit(like * more)) if more else text
+
     domain = F.substring_index(norm, "@", -1)
     host = F.regexp_replace(domain, "\\.[^.]*$", "")
-    email = F.concat(_redrawn(F.substring_index(norm, "@", 1), h), F.lit("@"), _redrawn(host, _digest(key, F.concat(F.lit("host|"), domain))), F.substr(domain, F.length(host) + 1))
+    email = F.concat(_redrawn(longer(F.substring_index(norm, "@", 1), "a"), h), F.lit("@"), _redrawn(host, _digest(key, F.concat(F.lit("host|"), domain))), F.substr(domain, F.length(host) + 1))
     code = F.substring_index(norm, "|", 1)
-    phone = F.concat(code, F.lit("|"), _redrawn(F.substr(norm, F.length(code) + 2), h))
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), _redrawn(F.substr(norm, F.lit(2), F.greatest(F.length(norm) - 2, F.lit(0))), h))
+    phone = F.concat(code, F.lit("|"), _redrawn(longer(F.substr(norm, F.length(code) + 2), "0"), h))
+    inner = F.substr(norm, F.lit(2), F.greatest(F.length(norm) - 2, F.lit(0)))
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), _redrawn(longer(inner, "0"), h))
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    account = _redrawn(F.substr(norm, F.lit(5)), h)
+    account = _redrawn(longer(F.substr(norm, F.lit(5)), "0"), h)
     check = 98 - _mod97(F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.lit("00"), account))
     iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), account)
+    # a private address stays in its network, then in the largest one, and then is any address that is not special
     private = F.regexp_extract(norm, "^(10\\.|192\\.168\\.|172\\.(?:1[6-9]|2[0-9]|3[01])\\.|127\\.)", 1)
+    if more:
+        private = F.when(private == "", "").otherwise("10." if more < GROWN else "")
     octets = [_value(h, F.lit(i)).cast("string") for i in range(3)]
-    first = F.element_at(F.array(*[F.lit(x) for x in (5, 23, 37, 45, 62, 77, 81, 94, 103, 118, 131, 146, 155, 163, 178, 185, 199, 203, 211, 217)]), (_value(h, F.lit(3)) % 20 + 1).cast("int"))
+    first = F.element_at(F.array(*[F.lit(x) for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]), ((_value(h, F.lit(3)) * 256 + _value(h, F.lit(4))) % 218 + 1).cast("int"))
     fresh = F.concat_ws(".", first.cast("string"), *octets)
     kept = F.concat(private, F.when(private.rlike("\\..*\\."), F.concat_ws(".", *octets[:2])).otherwise(F.concat_ws(".", *octets)))
     ip = F.when(private == "", fresh).otherwise(kept)
@@ -175,21 +208,30 @@ def _drawn(part: Column, norm: Column, key: str, attempt: int) -> Column:
         stem = F.concat(*[F.element_at(F.array(*[F.lit(x) for x in syllables]), (_value(h, F.lit(10 + i)) % len(syllables) + 1).cast("int")) for i in range(2 + attempt)])
         return F.concat(stem, F.element_at(F.array(*[F.lit(x) for x in endings]), (_value(h, F.lit(9)) % len(endings) + 1).cast("int")))
 
-    out = F.when(part == "email", email).when(part == "phone", phone).when(part == "ssn", _redrawn(norm, h)).when(part == "card", card).when(part == "iban", iban).when(part == "ip", ip)
-    for gender, latin, cyrillic in (("m", ["us", "ert", "o", "ard"], ["ан", "ир"]), ("f", ["a", "ina", "elle", "ia"], ["а", "ия"]), ("n", ["in", "y", "is"], ["ь"])):
-        out = out.when(part == f"first_{gender}_latin", word(_SYLLABLES, latin)).when(part == f"first_{gender}_cyrillic", word(_SYLLABLES_CYRILLIC, cyrillic))
+    out = F.when(part == "email", email).when(part == "phone", phone).when(part == "ssn", _redrawn(longer(norm, "0"), h)).when(part == "card", card).when(part == "iban", iban).when(part == "ip", ip)
+    for of, latin, cyrillic in (("m", ["us", "ert", "o", "ard"], ["ан", "ир"]), ("f", ["a", "ina", "elle", "ia"], ["а", "ия"]), ("n", ["in", "y", "is"], ["ь"])):
+        out = out.when((part == "first_latin") & (gender == of), word(_SYLLABLES, latin)).when((part == "first_cyrillic") & (gender == of), word(_SYLLABLES_CYRILLIC, cyrillic))
     return out.when(part == "last_latin", word(_SYLLABLES, ["son", "er", "ier", "ez", "mann", "ley"])).otherwise(word(_SYLLABLES_CYRILLIC, ["ов", "ин"]))
 
 
+def _spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """As many partitions as there are ``TASK_ROWS``: a row costs much more to work on than to read."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *by)
+
+
 def assign(entities: DataFrame, key: str, kept: Kept) -> DataFrame:
-    """(``part``, ``norm``, ``surrogate``) of all ``entities`` (``part``, ``norm``), distinct for each part kind and never the value of another entity."""
-    real = kept.keep(entities.distinct(), "real")
+    """(``part``, ``norm``, ``surrogate``) of all ``entities`` (``part``, ``norm``, ``gender``), distinct and never the value of another entity, for each
+    part kind; first and last names are one kind in this.
+    """
+    space = F.when(F.col("part").rlike("^(?:first|last)_"), "name").otherwise(F.col("part"))
+    real = kept.keep(entities.distinct().withColumn("space", space), "real")
     done, pending = [], real
     for attempt in range(MAX_ATTEMPTS):
-        drawn = pending.withColumn("surrogate", _drawn(F.col("part"), F.col("norm"), key, attempt))
-        taken = reduce(DataFrame.unionByName, [d.select("part", "surrogate") for d in done], real.select("part", F.col("norm").alias("surrogate")))
-        free = drawn.join(taken, ["part", "surrogate"], "left_anti")
-        done.append(kept.keep(free.groupBy("part", "surrogate").agg(F.min("norm").alias("norm")), f"attempt{attempt}"))
+        drawn = _spread(pending, pending.count(), "part", "norm").withColumn("surrogate", _drawn(F.col("part"), F.col("norm"), F.col("gender"), key, attempt))
+        taken = reduce(DataFrame.unionByName, [d.select("space", "surrogate") for d in done], real.select("space", F.col("norm").alias("surrogate")))
+        free = drawn.join(taken, ["space", "surrogate"], "left_anti")
+        first = free.groupBy("space", "surrogate").agg(F.min(F.struct("norm", "part")).alias("k")).select("space", "surrogate", "k.norm", "k.part")
+        done.append(kept.keep(first, f"attempt{attempt}"))
         pending = kept.keep(pending.join(done[-1], ["part", "norm"], "left_anti"), f"pending{attempt}")
         if pending.isEmpty():
             return reduce(DataFrame.unionByName, done).select("part", "norm", "surrogate")
@@ -197,15 +239,16 @@ def assign(entities: DataFrame, key: str, kept: Kept) -> DataFrame:
 
 
 def _laid_out(m: Column, kind: Column, surrogates: Column) -> Column:
-    """Surrogates in the format of the match ``m``."""
+    """Surrogates in the format of the match ``m``; what a longer one has more stands at its end."""
     one = F.element_at(surrogates, 1)
     number = F.regexp_replace(one, "\\|", "")
     # the n-th digit (for IBANs: character) of the match is the surrogate's n-th
-    nth = lambda i, rest: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), rest, ""))
-    digits = _each(m, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(number, nth(i, "[^0-9]"), F.lit(1))).otherwise(c))
-    iban = _each(m, lambda c, i: F.when(c != " ", F.substr(one, nth(i, " "), F.lit(1))).otherwise(c))
-    title = F.regexp_extract(m, f"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\\.? ", 0)
-    name = F.concat(title, F.array_join(F.transform(surrogates, lambda w: F.initcap(w)), " "))
+    size = lambda text, rest: F.length(F.regexp_replace(text, rest, ""))
+    nth = lambda i, rest: size(F.substr(m, F.lit(1), i + 1), rest)
+    digits = F.concat(_each(m, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(number, nth(i, "[^0-9]"), F.lit(1))).otherwise(c)), F.substr(number, size(m, "[^0-9]") + 1))
+    iban = F.concat(_each(m, lambda c, i: F.when(c != " ", F.substr(one, nth(i, " "), F.lit(1))).otherwise(c)), F.substr(one, size(m, " ") + 1))
+    cased = F.zip_with(_words(m), surrogates, lambda w, s: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(s)).otherwise(F.initcap(s)))
+    name = F.concat(F.regexp_extract(m, _TITLE, 0), F.array_join(cased, " "))
     email = F.when(m == F.upper(m), F.upper(one)).otherwise(one)
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", iban).when(kind == "name", name).when(kind == "email", email).otherwise(one)
 
@@ -224,11 +267,11 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     hits = kept.keep(hits, "hits")
     each = hits.dropDuplicates(["row", "row2"]).select("row", "row2", F.posexplode("found").alias("pos", "m"))
     kinds = kept.keep(each.select("m").distinct().withColumn("kind", _kind(F.col("m"))).filter("kind is not null"), "kinds")
-    parts = kinds.select("m", "kind", F.posexplode(_parts(F.col("m"), F.col("kind"))).alias("k", "p")).select("m", "kind", "k", "p.part", "p.norm")
+    parts = kinds.select("m", "kind", F.posexplode(_parts(F.col("m"), F.col("kind"))).alias("k", "p")).select("m", "kind", "k", "p.*")
     parts = kept.keep(parts, "parts")
-    given_to = assign(parts.select("part", "norm"), key, kept)
+    given_to = assign(_gendered(parts), key, kept)
     new = parts.join(given_to, ["part", "norm"]).groupBy("m", "kind").agg(F.array_sort(F.collect_list(F.struct("k", "surrogate"))).alias("s"))
-    new = kept.keep(new.select("m", "kind", _laid_out(F.col("m"), F.col("kind"), F.transform("s", lambda x: x["surrogate"])).alias("s")), "new")
+    new = kept.keep(_spread(new, kinds.count(), "m").select("m", "kind", _laid_out(F.col("m"), F.col("kind"), F.transform("s", lambda x: x["surrogate"])).alias("s")), "new")
     told = each.join(new, "m", "left").select("row", "row2", F.struct("pos", F.coalesce("s", "m").alias("s"), "kind").alias("x"))
     told = told.groupBy("row", "row2").agg(F.array_sort(F.collect_list("x")).alias("x"))
     full = hits.join(told, ["row", "row2"])
@@ -243,6 +286,11 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     return changed.unionByName(same)
 
 
+#: The session's setting that holds the key of the query. Without it the query uses a key that is no secret: its surrogates can be recomputed.
+KEY_SETTING = "spark.quillgraph.pii.key"
+_NO_SECRET = "set spark.quillgraph.pii.key"
+
+
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    """All documents with personal data replaced."""
-    return replace(table(spark, sf_dir, "documents"), key="quillgraph production key")
+    """All documents with personal data replaced. Null and empty texts, null ids, repeated rows, clashing columns and empty tables: as ``replace``."""
+    return replace(table(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, None) or _NO_SECRET)

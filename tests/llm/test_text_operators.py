@@ -337,7 +337,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
 def test_surrogates_stay_distinct(spark):
     from quillgraph.session import Kept
 
-    entities = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(400)] + [("first_m_latin", f"n{i}") for i in range(9000)], "part string, norm string")
+    entities = spark.createDataFrame([("ssn", f"{i:09d}", None) for i in range(400)] + [("first_latin", f"n{i}", "m") for i in range(9000)], "part string, norm string, gender string")
     got = pii.assign(entities, "k", Kept(spark, "t")).collect()
     assert len(got) == 9400 and len({(r["part"], r["surrogate"]) for r in got}) == 9400
     assert not {(r["part"], r["surrogate"]) for r in got} & {(r["part"], r["norm"]) for r in got}
@@ -347,6 +347,27 @@ def test_surrogates_stay_distinct(spark):
     assert sum(other[k] == v for k, v in again.items()) < 100
 
 
+def test_one_person_has_one_surrogate(spark):
+    """Over titles, cases and documents; the gender is that of the first name, or what its titles say."""
+    texts = ["Mr. James Smith met Dr. James Smith and Mr. SMITH.", "Dr. Alex Jones saw Mrs. Alex Jones", "Prof. Kim Lee, Mr. Kim Lee, Mrs. Kim Lee", "Dr. JAMES SMITH"]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, texts), "key").collect()}
+    first, last = re.match(r"Mr\. (\w+) (\w+) met", got[0]).groups()
+    assert got[0] == f"Mr. {first} {last} met Dr. {first} {last} and Mr. {last.upper()}." and got[3] == f"Dr. {first.upper()} {last.upper()}"
+    assert re.search("(us|ert|o|ard)$", first)
+    alex = re.fullmatch(r"Dr\. (\w+) (\w+) saw Mrs\. \1 \2", got[1])
+    assert alex and re.search("(a|ina|elle|ia)$", alex[1])
+    assert re.fullmatch(r"Prof\. (\w+(?:in|y|is)) (\w+), Mr\. \1 \2, Mrs\. \1 \2", got[2])
+
+
+def test_full_spaces_get_longer_surrogates(spark):
+    """All one-letter mailboxes of a domain, all short numbers of a kind, and a whole private network's corner."""
+    texts = [f"{c}@corp.example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"call +1 23 {i:02d} now" for i in range(100)] + [f"192.168.0.{i}" for i in range(256)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, texts), "key").collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]+\.[a-z]+\.com", got[i]) for i in range(26))
+    assert all(re.fullmatch(r"call \+1 \d\d \d{2,} now", got[i]) for i in range(26, 126))
+
+
 def test_surrogates_odd_rows(spark):
     got = {(r["doc_id"], r["text"]) for r in pii.replace(odd(spark), "k").collect()}
     assert got == {(r["doc_id"], r["text"]) for r in odd(spark).collect()}
