@@ -12,8 +12,9 @@ second, narrow sketch bounds each pair's difference, and the sets themselves dec
 
 Sets that are equal are one node from the start. Of the nodes that share a block, each is first compared
 with the next one and with the first, which costs no more than there are nodes; what these links leave in
-different components is then compared pair by pair, within the sketch's bound. Pairs inside a component need no
-comparison. Nothing is capped: components are those of all links.
+different components is then compared pair by pair, within the sketch's bound: of a block, those outside its largest component with all
+others. Pairs inside a component need no comparison. A block that very many nodes share is dealt out, each part compared in itself and the parts' first
+nodes with one another. Nothing is capped: components are those of all links.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import joined, table
 from quillgraph.llm.tokens import batches, mix, shingle_sets
 from quillgraph.operators.components import connected_components
 from quillgraph.session import Kept
 
-#: Id lists up to this many rows (8 bytes each) are broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 BAND_RATIO = 1.4
 PREFIX_SUBSETS = 256
+#: A key that about so many sets have is dealt out; such keys are found by the sets whose hash is divisible by ``SAMPLED``, which changes
+#: only where rows go, not what is found.
+HOT, SAMPLED = 4096, 256
 _U = np.uint64
 
 
@@ -128,10 +130,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     return given.mapInArrow(run, "doc long, t long, n long, node long, sketch array<long>, keys array<long>")
 
 
-def _held(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
-
-
 def _differing_bits(x, y):
     """Bits in which two narrow sketches differ; the longer one is first folded to the other's length, which only cancels bits."""
 
@@ -159,8 +157,8 @@ def _verified(kept: Kept, name: str, pairs: DataFrame, firsts: DataFrame, docs:
             yield pd.DataFrame(rows, columns=["node", "s"])
 
     given = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    read = _held(given, wanted.select(F.col("first").alias("_id")).distinct(), ["_id"], "left_semi").mapInPandas(sets, "node long, s binary")
-    have = kept.keep(_held(read, wanted.select("node"), ["node"], "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+    read = joined(given, wanted.select(F.col("first").alias("_id")).distinct(), ["_id"], "left_semi").mapInPandas(sets, "node long, s binary")
+    have = kept.keep(joined(read, wanted.select("node"), ["node"], "left_semi").dropDuplicates(["node"]), f"{name}-sets")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -196,18 +194,29 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     firsts = kept.keep(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "firsts")
 
     # the first row of each set stands for it
-    others = rows.select("node", "doc").join(firsts.filter("rows > 1").select("node", "first"), "node").filter("doc > first").select("node", "doc").distinct()
+    others = joined(rows.select("node", "doc"), firsts.filter("rows > 1").select("node", "first"), ["node"]).filter("doc > first").select("node", "doc").distinct()
     others = kept.keep(others, "others")
-    alone = _held(rows.select("node", "doc", "keys"), others, ["node", "doc"], "left_anti")
-    met = alone.select("node", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key").orderBy("node")
+    alone = joined(rows.select("node", "doc", "keys"), others, ["node", "doc"], "left_anti")
+    keyed = alone.select("node", F.explode("keys").alias("key"))
+    often = keyed.filter(F.pmod("node", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") >= max(1, HOT // SAMPLED))
+    often = kept.keep(often.select("key", F.ceil(F.col("k") * SAMPLED / HOT).cast("int").alias("deals")), "often")
+    hot = F.lit(False)
+    met = keyed.withColumn("deal", F.lit(0))
+    if not often.isEmpty():
+        dealt = joined(keyed, often, ["key"], "left")
+        met = dealt.withColumn("deal", F.when(F.col("deals").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), "deals"))).drop("deals")
+        hot = F.col("deal") >= 0
+    by_key = Window.partitionBy("key", "deal").orderBy("node")
     met = met.withColumn("next", F.lead("node").over(by_key)).withColumn("last", F.lag("node").over(by_key))
-    met = met.filter((F.coalesce("next", "node") != F.col("node")) | (F.coalesce("last", "node") != F.col("node")))
-    met = kept.keep(met.select("key", "node").distinct(), "met")
+    met = met.filter(hot | (F.coalesce("next", "node") != F.col("node")) | (F.coalesce("last", "node") != F.col("node")))
+    met = kept.keep(met.select("key", "deal", "node").distinct(), "met")
 
     last = F.lag("node").over(by_key)
     start = F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = met.select("node", F.array_distinct(F.array(last, start)).alias("to")).select(F.explode("to").alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
+    near = met.select("node", F.array_distinct(F.array(last, start)).alias("to")).select(F.explode("to").alias("a"), F.col("node").alias("b"))
+    heads = met.filter(hot).groupBy("key", "deal").agg(F.min("node").alias("b"))
+    heads = heads.join(heads.groupBy("key").agg(F.min("b").alias("a")), "key").select("a", "b")
+    near = near.unionByName(heads).filter("a < b").distinct()
     side = firsts.select("node", "n", "sketch")
 
     def bounded(pairs: DataFrame) -> DataFrame:
@@ -219,14 +228,16 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     links = _verified(kept, "near", pairs, firsts, docs, id_col, text_col, words, percent)
     parts = kept.keep(connected_components(links, "a", "b"), "parts")
 
-    # blocks whose nodes are still in different components: the rest of their pairs
+    # blocks whose nodes are still in different components: the rest of their pairs, of which one is outside the block's largest part
     placed = kept.keep(met.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed")
-    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k")).filter("lo < hi and k > 2").select("key")
-    rest = placed.join(split, "key").join(side, "node")
-    x = rest.select("key", F.col("node").alias("a"), F.col("part").alias("pa"), F.struct("n", "sketch").alias("x"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("part").alias("pb"), F.struct("n", "sketch").alias("y"))
-    more = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _may_link("x", "y", percent))
-    more = kept.keep(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    held = placed.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("k"))
+    split = held.filter("parts > 1 and k > 2").select("key", F.col("top.part").alias("largest"))
+    rest = kept.keep(placed.join(split, "key").join(side, "node"), "rest")
+    x = rest.select("key", "largest", F.col("node").alias("a"), F.col("part").alias("pa"), F.struct("n", "sketch").alias("x"))
+    y = rest.filter("part <> largest").select("key", F.col("node").alias("b"), F.col("part").alias("pb"), F.struct("n", "sketch").alias("y"))
+    more = x.join(y, "key").filter((F.col("pa") != F.col("pb")) & ((F.col("pa") == F.col("largest")) | (F.col("a") < F.col("b"))) & _may_link("x", "y", percent))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = kept.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
     found = links
     if not more.isEmpty():
         found = links.unionByName(_verified(kept, "more", more, firsts, docs, id_col, text_col, words, percent))
@@ -236,8 +247,9 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     of_set = firsts.select("node", "first").join(parts, "node").withColumn("component_id", F.min("first").over(Window.partitionBy("component"))).select("node", F.col("component_id").alias("_c"))
     of_copies = firsts.filter("rows > 1").select("node", "first").join(of_set, "node", "left").select("node", F.coalesce("_c", "first").alias("_c"))
     linked = kept.keep(of_copies.unionByName(of_set.join(of_copies, "node", "left_anti")), "linked")
-    kept.drop("met")
-    return all_rows.select("doc", "t", "n", "node").join(linked, "node", "left").select("doc", "t", "n", "node", F.coalesce("_c", "doc").alias("component"))
+    for name in ("met", "placed", "rest"):
+        kept.drop(name)
+    return joined(all_rows.select("doc", "t", "n", "node"), linked, ["node"], "left").select("doc", "t", "n", "node", F.coalesce("_c", "doc").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -254,9 +266,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     twice = kept.keep(texts.filter("rows > 1").join(first, ["doc", "t"], "left_semi").select("doc", "t"), "twice")
     names = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"))
-    left = _held(own, gone, ["doc", "t"], "left_anti")
+    left = joined(own, gone, ["doc", "t"], "left_anti")
     if not twice.isEmpty():
-        left = _held(left, twice, ["doc", "t"], "left_anti").unionByName(_held(left, twice, ["doc", "t"], "left_semi").dropDuplicates(["doc", "t"]))
+        left = joined(left, twice, ["doc", "t"], "left_anti").unionByName(joined(left, twice, ["doc", "t"], "left_semi").dropDuplicates(["doc", "t"]))
     return left.select("row.*")
 
 

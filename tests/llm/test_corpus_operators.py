@@ -51,8 +51,10 @@ def families(seed, n=25):
     return out
 
 
-@pytest.mark.parametrize("seed,words,percent", [(1, 3, 90), (2, 5, 80), (3, 1, 80)])
-def test_join_finds_all_links(spark, seed, words, percent):
+@pytest.mark.parametrize("seed,words,percent,hot", [(1, 3, 90, 4096), (2, 5, 80, 4096), (3, 1, 80, 4096), (4, 3, 80, 3), (5, 2, 90, 2)])
+def test_join_finds_all_links(spark, monkeypatch, seed, words, percent, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "SAMPLED", 256 if hot > 256 else 1)
     texts = families(seed) + ["", None, "One two THREE four", "one two three FOUR", "  one\ttwo\nthree four "]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.similar(docs(spark, texts), words=words, percent=percent).collect()}
     assert got == plain_components(list(enumerate(texts)), words, percent)
