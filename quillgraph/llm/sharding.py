@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import numbered, table
+from quillgraph.llm.common import joined, numbered, table
 from quillgraph.session import Kept
 
 BUCKET_ROWS = 4096
@@ -107,8 +107,8 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link:
     )
     base = kept.keep(base, "base")
     total = base.count()
-    groups = base.filter("link is not null").groupBy("link").agg(F.count("*").alias("copies")).filter("copies > 1").select("link")
-    linked = base.join(groups, "link")
+    groups = kept.keep(base.filter("link is not null").groupBy("link").agg(F.count("*").alias("copies")).filter("copies > 1").select("link"), "groups")
+    linked = joined(base, groups, ["link"])
     linked = kept.keep(linked.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), "linked")
     n_linked = linked.count()
     linked = kept.keep(numbered(linked, [], "b", ["link", "doc_id", "size", "text_crc32"], "v").drop("b").withColumn("c", F.floor(F.col("v") / BUCKET_ROWS)), "numbered")
@@ -149,7 +149,7 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link:
     placed = linked.withColumn("at", F.row_number().over(Window.partitionBy("link", "c").orderBy("v")) - 1).join(cells, ["link", "c"]).filter("at >= lo and at < hi")
     ends = [sum(room[: s + 1]) for s in range(n_shards)]
     columns = ["doc_id", "size", "text_crc32", "link", "ord"]
-    single = base.join(groups, "link", "left_anti")
+    single = joined(base, groups, ["link"], "left_anti")
     pool = single.select(*columns).withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link"))
     pool = numbered(kept.keep(pool, "pool"), [], "b", ["doc_id", "size", "text_crc32", "link"], "at")
     filled = pool.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("at"))).cast("int"))
