@@ -145,8 +145,8 @@ def test_wand_is_exhaustive():
         query = sorted({code[a * index.base + b] for a, b in zip(w, w[1:]) if a >= 0 <= b and a * index.base + b in code})
         score = defaultdict(float)
         for t in query:
-            for n, v in zip(index.docs[t], index.weight[t]):
-                score[n] += v
+            for k in range(index.first[t], index.first[t + 1]):
+                score[index.docs[k]] += index.weight[k]
         for theta in (0.05, 0.2, 0.5):
             index.threshold = theta
             assert sorted(n for n, _ in index.wand(query)) == sorted(n for n, v in score.items() if v >= theta - 1e-9)
@@ -157,10 +157,42 @@ def test_leaks_found_and_clean_texts_left(spark):
     texts = [f"{filler} {ITEM.upper()} {filler}", filler, f"{filler} What is the capital of the northern province and who founded it? Nobody knows. {filler}", ITEM.replace(" ", "\n")]
     bench = spark.createDataFrame([(7, ITEM, 1), (8, "tiny item", 1), (None, ITEM, 1), (9, None, 1)], "item_id long, text string, score int")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.scan(docs(spark, texts), bench).collect()} == {(0, 7), (3, 7)}
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.scan(docs(spark, texts), bench.union(spark.createDataFrame([(10, ITEM + " Again.", 1)], bench.schema)), items_a_pass=1).collect()} >= {(0, 7), (3, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.scan(docs(spark, texts), bench.union(spark.createDataFrame([(10, ITEM + " Again.", 1)], bench.schema)), words_a_pass=20).collect()} >= {(0, 7), (3, 7)}
     assert [r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts), bench).collect()] == [1, 2]
 
 
+def test_short_items_leak_word_by_word(spark):
+    bench = spark.createDataFrame([(1, "Forty two!"), (2, "one two three four"), (3, "yes"), (4, "???"), (5, "two words"), (6, "Forty-two")], "item_id long, text string")
+    texts = ["the answer is forty   TWO, yes", "Yes.", "one two three", "he said: one, two; three four five", "two plain words", "forty", "yes yes"]
+    got = {(r["doc_id"], r["item_id"], r["word"]) for r in decontaminate.scan(docs(spark, texts), bench).collect()}
+    assert got == {(0, 1, 3), (0, 6, 3), (1, 3, 0), (3, 2, 2)}
+
+
+def test_leaks_are_those_of_comparing_every_pair(spark):
+    """Items of all lengths in random texts, against shingle overlaps of every text and item; texts that hold half an item are clean."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(6, 60)))) for i in range(40)]
+    texts = []
+    for _ in range(120):
+        words, hit = rng.choices(vocabulary, k=rng.randrange(0, 300)), rng.choice(items)[1].split()
+        at = rng.randrange(len(words) + 1)
+        piece = hit if rng.random() < 0.5 else hit[: len(hit) // 2] if rng.random() < 0.5 else []
+        texts.append(" ".join(words[:at] + piece + words[at:]))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in items:
+            w = item.split()
+            if f" {item} " in f" {t} ":
+                want.add((d, i))
+            else:
+                half = (len(w) + 1) // 2
+                cover = [len({tuple(h[a : a + k]) for a in range(len(h) - k + 1)} & {tuple(t.split()[a : a + k]) for a in range(len(t.split()) - k + 1)}) / (len(h) - k + 1) for h in (w[:half], w[half:]) for k in [min(5, len(h))]]
+                assert min(cover) < 0.8
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.scan(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 40 and got == want
+
+
 def test_leaks_odd_rows(spark):
     bench = spark.createDataFrame([(1, "Same text here and some more words", 1)], "item_id long, text string, x int")
     assert decontaminate.scan(odd(spark), bench).count() == 0
