@@ -189,6 +189,14 @@ def _even(v: np.ndarray) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(size.max() - size, 0))[:, None].astype(np.float32)], 1) if len(v) else v
 
 
+def _repeated(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Where a row's id has a better place, or an equal one before, in the same row."""
+    order = np.lexsort((-score, ids), axis=1)
+    same = np.zeros(ids.shape, bool)
+    np.put_along_axis(same, order[:, 1:], np.diff(np.take_along_axis(ids, order, 1), axis=1) == 0, 1)
+    return same
+
+
 def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row a shard: (``dim``, ``shard``, ``ids``, ``vectors``, ``layers``), of ``nodes`` (``node``, ``v``). Arrays are bytes; ``layers`` has each layer's flat links."""
     shards = max(1, -(-nodes.count() // shard_rows))
@@ -227,6 +235,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH,
                 q32 = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
                 found = g.search(q32, max(ef, k))
                 score = np.where(found >= 0, np.einsum("qd,qed->qe", q, v[found]), -np.inf)
+                score[_repeated(ids[found], score)] = -np.inf
                 order = np.lexsort((ids[found], -score), axis=1)[:, :k]
                 found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
                 ok = ~np.isneginf(score)
@@ -241,7 +250,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARC
 
     ``rows`` and ``queries`` have ``vec_id`` and ``embedding``. Vectors that are null, zero, or hold a null or non-finite component
     take no part, nor do rows with a null id; only vectors as long as the query's are its candidates. Ties go to the smaller
-    id. Of repeated ids each different vector is a candidate, and a result holds an id once. Other columns are ignored. Empty tables give an empty result.
+    id. Of repeated ids each different vector is a candidate, and a result holds an id once; of a repeated query id all its vectors ask, and a candidate has
+    its best score. Other columns are ignored. Empty tables give an empty result.
     """
     kept = Kept(rows.sparkSession, "ann")
 
@@ -257,8 +267,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARC
     nodes = kept.keep(few.filter("r = 1").select(F.col("vec_id").alias("node"), "h", "h2", "v"), "nodes")
     copies = few.select("h", "h2", "vec_id").join(nodes.select("h", "h2", "node"), ["h", "h2"]).select("node", "vec_id")
     indexed = kept.keep(index(nodes.select("node", "v"), shard_rows), "index")
-    asked = kept.keep(sound(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "queries")
-    hits = search(indexed, asked, k + 1, ef)
+    asked = kept.keep(sound(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id", "q"]), "queries")
+    hits = search(indexed, asked, k + 1, ef).groupBy("query_id", "node").agg(F.max("score").alias("score"))
     merged = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     hits = hits.withColumn("r", F.row_number().over(merged)).filter(F.col("r") <= k + 1).drop("r")
     full = hits.join(copies, "node").filter(F.col("vec_id") != F.col("query_id"))
@@ -268,6 +278,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARC
 
 
 def op1_hnsw(spark, sf_dir: str) -> DataFrame:
-    """The 20 nearest vectors to every vector whose id is divisible by 20."""
+    """The 20 nearest vectors to every vector whose id is divisible by 20. Null and unsound vectors, null and repeated ids, ties, other columns and empty
+    tables: as ``nearest``.
+    """
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
