@@ -249,7 +249,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     linked = kept.keep(of_copies.unionByName(of_set.join(of_copies, "node", "left_anti")), "linked")
     for name in ("met", "placed", "rest"):
         kept.drop(name)
-    return joined(all_rows.select("doc", "t", "n", "node"), linked, ["node"], "left").select("doc", "t", "n", "node", F.coalesce("_c", "doc").alias("component"))
+    return joined(all_rows.select("doc", "t", "n", "node"), linked, ["node"], "left").select("doc", "t", "n", "node", F.when(F.col("doc").isNotNull(), F.coalesce("_c", "doc")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
