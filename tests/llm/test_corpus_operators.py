@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, mixing, neardup, sharding
+from quillgraph.llm import ann, mixing, neardup, queries, sharding
 from tests.llm.test_text_operators import docs, empty, odd
 
 # --- 10
@@ -295,3 +295,40 @@ def test_nearest_odd_rows(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table, table.filter("vec_id % 20 = 0"), k=20).collect()]
     assert sorted(got) == [(0, 1, 7, 1.0), (0, 2, 20, 1.0), (0, 3, 6, 0.5), (20, 1, 0, 1.0), (20, 2, 7, 1.0), (20, 3, 6, 0.5)]
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_all_vectors_of_a_query_id_ask(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.1]), (2, [0.1, 3.0]), (3, [-1.0, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, table.filter("vec_id = 0"), k=3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 3.0), (2, 1, 2.0), (3, 3, -1.0)]
+
+
+@pytest.mark.parametrize("name", ["op1_hnsw", "op6_pfair_mix", "op8_balanced_shards", "op10_ngram_jaccard_join"])
+def test_registered_queries(spark, tmp_path, name):
+    """The queries as the driver calls them, on tables with nulls, repeated rows and columns that bear the results' names."""
+    vectors = [(i, [float(i % 7), 1.0, float(i % 3)], 9, 9.0, "x") for i in range(60)] + [(None, [1.0, 1.0, 1.0], 1, 1.0, "x"), (3, None, 1, 1.0, "x")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, rank int, score double, node string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = [f"words of text {i % 30} and more of them {i % 30}" for i in range(90)] + ["", None, "words of text 3 and more of them 3"]
+    rows = [(i, t, "en", f"src{i % 3}", "a", "b", "c") for i, t in enumerate(texts)] + [(None, texts[0], None, None, None, None, None), (5, texts[5], "en", "src2", "a", "b", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, component_id string, shard string, position string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "op1_hnsw":
+        best = defaultdict(list)
+        for r in got:
+            best[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        real = [(i, v) for i, v, *_ in vectors if i is not None and v]
+        for i in (0, 20, 40):
+            q = dict(real)[i]
+            want = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in real if j != i))[:20]
+            assert sorted(best[i]) == [(k, j, -s) for k, (s, j) in enumerate(want, 1)]
+    elif name == "op10_ngram_jaccard_join":
+        want = {i: c for i, (n, c) in plain_components([(i, t) for i, t, *_ in rows if i is not None], 3, 90).items()}
+        assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+        assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    elif name == "op8_balanced_shards":
+        sizes = Counter(r["shard"] for r in got)
+        assert len(got) == len(rows) and set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+        assert sorted((r["shard"], r["slot"]) for r in got) == sorted((s, k) for s, n in sizes.items() for k in range(n))
+    else:
+        assert sorted(r["position"] for r in got) == list(range(len(rows))) and Counter(r["source"] for r in got) == Counter(r[3] for r in rows)

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillgraph.llm import decontaminate, htmltext, langid, lm, pii, secrets
+from quillgraph.llm import decontaminate, htmltext, langid, lm, pii, queries, secrets
 
 DOCS = "doc_id long, text string, lang string, kind string, score string"
 
@@ -427,3 +427,54 @@ def test_surrogates_odd_rows(spark):
     got = {(r["doc_id"], r["text"]) for r in pii.replace(odd(spark), "k").collect()}
     assert got == {(r["doc_id"], r["text"]) for r in odd(spark).collect()}
     assert pii.replace(odd(spark), "k").count() == 7 and pii.replace(empty(spark), "k").count() == 0
+
+
+# --- the registered queries
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables with nulls, empty texts, repeated rows, and columns that bear the results' names."""
+    at = tmp_path_factory.mktemp("tables")
+    words = {"en": "the and of to in that with for", "de": "der die und das nicht mit ein ist", "fr": "le la les des que dans pour est"}
+    rows = [(i, " ".join((w.split() * 9)[i % 7 : i % 7 + 12 + i % 30]) + f" token=abcdef{i:03d}", lang, "k", "s", 1, "x") for i, (lang, w) in enumerate(list(words.items()) * 30)]
+    rows += [(200, f"{ITEM} Mr. John Smith", "en", "k", "s", 1, "x"), (201, None, None, None, None, None, None), (202, "", "en", "k", "s", 1, "x"), (203, "12 34 !!", "en", "k", "s", 1, "x"), (None, "the end of that", "en", "k", "s", 1, "x"), rows[0]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score string, n_email int, surrogates string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(7, ITEM, 1.0), (None, ITEM, 1.0), (8, None, 1.0)], "item_id long, text string, score double").write.parquet(f"{at}/benchmark.parquet")
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Some long text, with words enough.</p></article></body>"
+    spark.createDataFrame([(1, "u", page, "t", "n"), (2, None, None, "t", "n"), (3, "u", "", "t", "n"), (1, "u", page, "t", "n")], "page_id long, url string, html string, text string, n_chars string").write.parquet(f"{at}/pages.parquet")
+    return str(at), rows
+
+
+@pytest.mark.parametrize("name", ["op2_decontamination", "op3_language_id", "op4_html_extraction", "op5_pii_surrogates", "op7_lm_score", "op9_secret_scan"])
+def test_registered_queries(spark, folder, name):
+    at, rows = folder
+    got = queries.QUERIES[name](spark, at).collect()
+    texts = Counter(i for i, *_ in rows)
+    if name == "op2_decontamination":
+        assert [(r["doc_id"], r["item_id"]) for r in got] == [(200, 7)]
+        return
+    if name == "op4_html_extraction":
+        text = "Title Some long text, with words enough."
+        assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0)]
+        return
+    assert Counter(r["doc_id"] for r in got) == texts
+    by_id = {r["doc_id"]: r for r in got}
+    if name == "op3_language_id":
+        assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+        assert [by_id[i]["lang_pred"] for i in (201, 202, 203)] == ["und"] * 3 and sum(r["lang_pred"] == lang for (i, _, lang, *_) in rows[:90] for r in [by_id[i]]) > 85
+    elif name == "op5_pii_surrogates":
+        assert by_id[201]["text"] is None and by_id[202]["text"] == "" and "Smith" not in by_id[200]["text"] and by_id[5]["text"] == rows[5][1]
+        spark.conf.set(pii.KEY_SETTING, "another key")
+        try:
+            other = {r["doc_id"]: r["text"] for r in queries.QUERIES[name](spark, at).collect()}
+        finally:
+            spark.conf.unset(pii.KEY_SETTING)
+        assert other[200] != by_id[200]["text"] and other[5] == by_id[5]["text"]
+    elif name == "op7_lm_score":
+        plain = {i: (n, known, total, base, score) for i, n, known, total, base, score in plain_scores([(i, t) for i, t, *_ in rows], 2, 7, lm.MU)}
+        for r in got:
+            if r["doc_id"] is not None:
+                assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == plain[r["doc_id"]][:3] and (r["base_score"], r["score"]) == pytest.approx(plain[r["doc_id"]][3:], abs=1e-9)
+    else:
+        assert all(r["n_assign"] == (1 if i in by_id and i < 90 else 0) for i, r in by_id.items() if i is not None)
