@@ -135,7 +135,12 @@ ODD = [
         (_ODD, "skos:hasRelatedMatch", _id("nation", "n_nationkey"), None, None),
         (_ODD, "oio:inSubset", "'odd:subset'", None, None),
         (_ODD, "oio:inSubset", None, "n_name", _STRING),
+        (_id("_:oy", "n_nationkey"), "rdf:type", "'owl:Axiom'", None, None),
+        (_id("_:oy", "n_nationkey"), "owl:annotatedSource", _ODD, None, None),
+        (_id("_:oy", "n_nationkey"), "owl:annotatedProperty", "'oio:hasExactSynonym'", None, None),
+        (_id("_:oy", "n_nationkey"), "owl:annotatedTarget", None, "n_name", _STRING),
         (_id("_:oy", "n_nationkey"), "oio:hasSynonymType", "'odd:type'", None, None),
+        (_ODD, "oio:consider", _id("region", "n_regionkey"), None, None),
         (_ODD, "dc:creator", None, "n_name", _STRING),
         (_ODD, "dcterms:contributor", _id("orcid", "n_nationkey"), None, None),
         (_ODD, "dcterms:date", None, "'2024-1-1'", "'xsd:date'"),
