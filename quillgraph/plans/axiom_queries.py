@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import axioms as ax
 from quillgraph.plans.view_sql import with_views
-from quillgraph.reason.el import Classification
+from quillgraph.reason import services
+from quillgraph.reason.el import Classification, classify
 from quillgraph.sources.driver_tables import ODD_STATEMENTS, statements
 
 QUERIES: dict = {}
@@ -61,12 +62,13 @@ def el_materialize(spark, sf_dir):
 
 
 def axiom_table(spark: SparkSession, sf_dir: str, where: str = "true", more: str = "") -> DataFrame:
-    """Subclass and label axioms of the hierarchy; bodies are JSON made in the JVM."""
+    """Subclass and label axioms of the hierarchy."""
     s = statements(spark, sf_dir, more).filter(where)
-    sub = s.filter("predicate = 'rdfs:subClassOf' and object not like '\\\\_:%'").select(F.lit("SubClassOf").alias("type"), F.array(F.lit("SubClassOf"), "subject", "object").alias("x"), F.sort_array(F.array("subject", "object")).alias("signature"))
-    label = s.filter("predicate = 'rdfs:label'").select(F.lit("AnnotationAssertion").alias("type"), F.array(F.lit("AnnotationAssertion"), F.lit("rdfs:label"), "subject", F.concat(F.lit('"'), "value", F.lit('"'))).alias("x"), F.array("subject").alias("signature"))
-    body = F.to_json("x")
-    return sub.union(label).select(F.sha2(body, 256).alias("axiom_id"), "type", body.alias("body"), "signature")
+    sub = services.made(s.filter("predicate = 'rdfs:subClassOf' and object not like '\\\\_:%'"), "SubClassOf", "subject", "object")
+    label = s.filter("predicate = 'rdfs:label'").withColumn("value", F.concat(F.lit('"'), "value", F.lit('"')))
+    label = services.made(label, "AnnotationAssertion", F.lit("rdfs:label"), "subject", "value")
+    # labels are about their subject alone
+    return sub.union(label.withColumn("signature", F.filter("signature", lambda x: (x != "rdfs:label") & ~x.startswith('"'))))
 
 
 _AX = {
@@ -138,3 +140,34 @@ def axiom_reduce(spark, sf_dir):
     """Without the subclass axioms that others imply: of the odd classes, those that lead past their nation."""
     a = axiom_table(spark, sf_dir, "subject not like '\\_:%'", "odd").dropDuplicates(["axiom_id"])
     return _plain(ax.reduce(a))
+
+
+@_query("SELECT subject AS s, object AS o FROM sups EXCEPT SELECT subject, object FROM told", _EL)
+def reason_indirect(spark, sf_dir):
+    """Subclass axioms that are entailed and not stated."""
+    a = axiom_table(spark, sf_dir)
+    return _plain(services.inferred(a, indirect=True)).select("s", "o")
+
+
+def _equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The odd classes with their nations as equivalents."""
+    a = axiom_table(spark, sf_dir, "subject not like '\\\\_:%'", "odd").filter("type = 'SubClassOf'")
+    same = statements(spark, sf_dir, "odd").filter("predicate = 'owl:equivalentClass' and object not like '\\\\_:%'")
+    return ax.merge(a, services.made(same, "EquivalentClasses", F.least("subject", "object"), F.greatest("subject", "object")))
+
+
+@_query("SELECT DISTINCT id, replace(id, 'odd:', 'nation:') AS \"group\" FROM (SELECT subject AS id FROM told UNION SELECT object FROM told) x", _EL | {"statements": ODD_STATEMENTS})
+def taxonomy_groups(spark, sf_dir):
+    return services.taxonomy(classify(_equivalent(spark, sf_dir)))[0]
+
+
+@_query("SELECT DISTINCT subject, object FROM (SELECT replace(subject, 'odd:', 'nation:') AS subject, replace(object, 'odd:', 'nation:') AS object FROM told) x WHERE subject <> object", _EL | {"statements": ODD_STATEMENTS})
+def taxonomy_edges(spark, sf_dir):
+    return services.taxonomy(classify(_equivalent(spark, sf_dir)))[1]
+
+
+@_query("SELECT id FROM (SELECT subject AS id FROM told UNION SELECT object FROM told) x WHERE id NOT IN (SELECT subject FROM sups WHERE object LIKE 'region:%') AND id NOT LIKE 'region:%'", _EL)
+def check_align(spark, sf_dir):
+    """Classes that no region subsumes."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
+    return services.unaligned(axiom_table(spark, sf_dir), regions, "all")
