@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.operators import axioms as ax
 from quillgraph.operators import mappings, qc
 from quillgraph.plans.views import Views
+from quillgraph.reason import services
 from quillgraph.reason.el import Classification, classify, dl_query
-from quillgraph.sources import ofn, rdf, tables
+from quillgraph.sources import ofn, owx, rdf, tables
+from quillgraph.sources.manchester import expression as manchester
 from quillgraph.sparql.compile import Engine, quads_of
 
 
@@ -24,10 +27,12 @@ class Ontology:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, fmt: str | None = None) -> Ontology:
-        """``fmt``: ofn, nt, nq, rdfxml, ttl, obo or json (OBO graph); by the file's ending where it is not given."""
-        fmt = fmt or {"ofn": "ofn", "nt": "nt", "nq": "nt", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "ttl": "ttl", "obo": "obo", "json": "json"}.get(path.removesuffix(".gz").rsplit(".", 1)[-1], "")
+        """``fmt``: ofn, owx, nt, nq, rdfxml, ttl, obo or json (OBO graph); by the file's ending where it is not given."""
+        fmt = fmt or {"ofn": "ofn", "nt": "nt", "nq": "nt", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "ttl": "ttl", "obo": "obo", "json": "json", "owx": "owx"}.get(path.removesuffix(".gz").rsplit(".", 1)[-1], "")
         if fmt == "ofn":
             return cls(axioms=ofn.read_ofn(spark, path))
+        if fmt == "owx":
+            return cls(axioms=owx.read_owx(spark, path))
         if fmt == "obo":
             return cls(statements=tables.obo_statements(tables.read_obo(spark, path)))
         if fmt == "json":
@@ -52,7 +57,7 @@ class Ontology:
         return replace(self, axioms=ax.judged(self.axioms, chosen, trim))
 
     def extract(self, seeds: DataFrame, method: str = "bot") -> Ontology:
-        return replace(self, axioms={"bot": ax.extract_bottom, "mireot": ax.mireot}[method.lower()](self.axioms, seeds))
+        return replace(self, axioms={"bot": ax.extract_bottom, "top": ax.extract_top, "star": ax.extract_star, "mireot": ax.mireot}[method.lower()](self.axioms, seeds))
 
     def rename(self, names: dict[str, str], prefixes: dict[str, str] | None = None) -> Ontology:
         return replace(self, axioms=ax.rename(self.axioms, names, prefixes))
@@ -81,14 +86,32 @@ class Ontology:
             raise NotImplementedError(f"no {reasoner} here: EL classification only")
         return classify(self.axioms)
 
-    def dl_query(self, expression, kind: str = "descendants") -> DataFrame:
-        return dl_query(self.axioms, expression, kind)
+    def infer(self, **options) -> Ontology:
+        """With the axioms that ``services.inferred`` finds."""
+        return replace(self, axioms=services.reason(self.axioms, **options))
+
+    def explain(self, subject: str, object: str = "owl:Nothing", most: int = 1) -> list[list[str]]:
+        return services.explain(self.axioms, subject, object, most)
+
+    def profile_violations(self, profile: str = "EL") -> DataFrame:
+        return services.profile_violations(self.axioms, profile)
+
+    def dl_query(self, expression, kind: str = "descendants", names: dict[str, str] | None = None) -> DataFrame:
+        """``expression``: nested lists, or Manchester syntax, in which ``names`` maps labels to entities."""
+        return dl_query(self.axioms, manchester(expression, names) if isinstance(expression, str) else expression, kind)
 
     def views(self, entailed: DataFrame | None = None, strict: bool = True) -> Views:
         return Views(self.statements, entailed, strict)
 
-    def query(self, text: str) -> DataFrame:
-        return Engine(quads_of(self.statements), self.prefixes).query(text)
+    def query(self, text: str, inferred: bool = False) -> DataFrame:
+        """``inferred`` also matches subclasses, types and relations that the axioms entail."""
+        statements = self.statements
+        if inferred:
+            c = classify(self.axioms)
+            null, parts = F.lit(None).cast("string"), [(c.subsumptions(), "subject", F.lit("rdfs:subClassOf"), "object"), (c.types(), "individual", F.lit("rdf:type"), "type"), (services.property_assertions(c), "subject", F.col("predicate"), "object")]
+            for df, s, p, o in parts:
+                statements = statements.union(df.select(F.col(s).alias("stanza"), F.col(s).alias("subject"), p.alias("predicate"), F.col(o).alias("object"), null, null, null))
+        return Engine(quads_of(statements), self.prefixes).query(text)
 
     def report(self, profile: dict[str, str] | None = None) -> DataFrame:
         return qc.report(self.statements, profile)

@@ -255,37 +255,127 @@ def bottom_local(axiom: list, sig: set) -> bool:
     return op in ("SameIndividual", "DifferentIndividuals", "Declaration", *GROUPS["annotation"])
 
 
-def extract_bottom(axioms: DataFrame, seeds: DataFrame, rounds: int = 200) -> DataFrame:
-    """The bottom-locality module of ``seeds`` (``id``): all that the axioms say of them from above, with declarations and annotations of its names.
+def top_local(axiom: list, sig: set) -> bool:
+    """Whether an axiom says nothing about the names in ``sig`` when all other classes and roles hold of everything."""
+
+    def top(x) -> bool:
+        if isinstance(x, str):
+            return x not in sig and x != BOTTOM
+        op, *a = x
+        if op == "ObjectIntersectionOf":
+            return all(top(k) for k in a)
+        if op == "ObjectUnionOf":
+            return any(top(k) for k in a)
+        if op == "ObjectComplementOf":
+            return bottom(a[0])
+        if op in ("ObjectSomeValuesFrom", "ObjectAllValuesFrom"):
+            return top(a[1]) and (op == "ObjectAllValuesFrom" or free(a[0]))
+        if op in ("ObjectHasValue", "ObjectHasSelf"):
+            return free(a[0])
+        return op == "ObjectMinCardinality" and (int(a[0]) == 0 or int(a[0]) == 1 and free(a[1]) and (len(a) < 3 or top(a[2])))
+
+    def bottom(x) -> bool:
+        if isinstance(x, str):
+            return x == BOTTOM
+        op, *a = x
+        if op == "ObjectIntersectionOf":
+            return any(bottom(k) for k in a)
+        if op == "ObjectUnionOf":
+            return all(bottom(k) for k in a)
+        if op == "ObjectComplementOf":
+            return top(a[0])
+        if op == "ObjectSomeValuesFrom":
+            return bottom(a[1])
+        return op == "ObjectAllValuesFrom" and free(a[0]) and bottom(a[1])
+
+    def free(r) -> bool:
+        return (r if isinstance(r, str) else r[1]) not in sig
 
-    Each round meets only the axioms that mention a name of the signature so far, each with the names of its own that are in it.
+    op, *a = [k for k in axiom if not (isinstance(k, list) and k[0] in ("Annotations", "Annotation"))]
+    if op == "SubClassOf":
+        return bottom(a[0]) or top(a[1])
+    if op == "EquivalentClasses":
+        return all(bottom(k) for k in a) or all(top(k) for k in a)
+    if op == "DisjointClasses":
+        return sum(not bottom(k) for k in a) <= 1
+    if op in ("ObjectPropertyDomain", "ObjectPropertyRange"):
+        return top(a[1])
+    if op == "SubObjectPropertyOf":
+        return free(a[1])
+    if op in ("EquivalentObjectProperties", "InverseObjectProperties"):
+        return all(free(r) for r in a)
+    if op in ("TransitiveObjectProperty", "ReflexiveObjectProperty", "SymmetricObjectProperty"):
+        return free(a[0])
+    if op == "ClassAssertion":
+        return top(a[0])
+    if op == "ObjectPropertyAssertion":
+        return free(a[0])
+    return op in ("Declaration", *GROUPS["annotation"])
+
+
+def _module(axioms: DataFrame, seeds: DataFrame, local, everywhere: bool, kept: Kept, tag: str) -> DataFrame:
+    """The logical axioms of ``axioms`` that a locality (``local``) keeps for ``seeds`` and for all names that come in with them.
+
+    Each round meets only the axioms that mention a name of the signature so far, each with the names of its own that are in it; the first round,
+    and with ``everywhere`` each one, also those that mention none.
     """
-    kept = Kept(axioms.sparkSession, "module")
-    logical = kept.keep(axioms.filter(~F.col("type").isin(*GROUPS["annotation"], "Declaration")), "logical")
-    sig = kept.keep(seeds.select("id").distinct(), "sig0")
+    logical = kept.keep(axioms.filter(~F.col("type").isin(*GROUPS["annotation"], "Declaration")), f"{tag}logical")
+    sig = kept.keep(seeds.select("id").distinct(), f"{tag}sig0")
     terms = logical.select("axiom_id", F.explode("signature").alias("id"))
-    inside = None
-    for i in range(1, rounds + 1):
+    inside, i = None, 0
+    while True:  # ends, as each round adds an axiom
+        i += 1
         known = terms.join(sig, "id", "left_semi").groupBy("axiom_id").agg(F.collect_set("id").alias("known"))
         rest = logical if inside is None else logical.join(inside.select("axiom_id"), "axiom_id", "left_anti")
-        asked = rest.join(known, "axiom_id", "left" if i == 1 else "inner").select("axiom_id", "body", "known")
+        asked = rest.join(known, "axiom_id", "left" if i == 1 or everywhere else "inner").select("axiom_id", "body", "known")
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                keep = [not bottom_local(json.loads(b), set(() if k is None else k)) for b, k in zip(part["body"], part["known"], strict=True)]
+                keep = [not local(json.loads(b), set(() if k is None else k)) for b, k in zip(part["body"], part["known"], strict=True)]
                 yield part.loc[keep, ["axiom_id"]]
 
-        found = kept.keep(logical.join(asked.mapInPandas(run, "axiom_id string"), "axiom_id", "left_semi").select(*COLUMNS), f"found{i}")
+        found = kept.keep(logical.join(asked.mapInPandas(run, "axiom_id string"), "axiom_id", "left_semi").select(*COLUMNS), f"{tag}found{i}")
         if found.isEmpty():
+            return axioms.select(*COLUMNS).limit(0) if inside is None else inside
+        inside = kept.keep(found if inside is None else inside.unionByName(found), f"{tag}module{i}")
+        sig = kept.keep(sig.union(found.select(F.explode("signature"))).distinct(), f"{tag}sig{i}")
+
+
+def extract(axioms: DataFrame, seeds: DataFrame, method: str = "bot") -> DataFrame:
+    """The locality module of ``seeds`` (``id``), with declarations and annotations of its names: ``bot`` (all that is said of them from above), ``top`` (from below)
+    or ``star`` (the two in turn until neither drops an axiom: the smallest).
+    """
+    kept, method = Kept(axioms.sparkSession, "module"), method.lower()
+    if method not in ("bot", "top", "star"):
+        raise ValueError(method)
+    now, size, turn = axioms, None, 0
+    while True:
+        kinds = ("bot", "top") if method == "star" else (method,)
+        for kind in kinds:
+            turn += 1
+            now = _module(now, seeds, bottom_local if kind == "bot" else top_local, kind == "top", kept, f"{turn}-")
+        n = now.count()
+        if method != "star" or n == size:
             break
-        inside = kept.keep(found if inside is None else inside.unionByName(found), f"module{i}")
-        sig = kept.keep(sig.union(found.select(F.explode("signature"))).distinct(), f"sig{i}")
-    else:
-        raise RuntimeError(f"no module in {rounds} rounds")
+        size = n
+    names = kept.keep(seeds.select("id").union(now.select(F.explode("signature"))).distinct(), "names")
     about = axioms.filter(F.col("type").isin("AnnotationAssertion", "Declaration"))
     subject = F.when(F.col("type") == "Declaration", F.get_json_object("body", "$[1][1]")).otherwise(F.get_json_object("body", "$[2]"))
-    about = about.withColumn("_s", subject).join(sig.withColumnRenamed("id", "_s"), "_s", "left_semi").select(*COLUMNS)
-    return about if inside is None else inside.unionByName(about)
+    about = about.withColumn("_s", subject).join(names.withColumnRenamed("id", "_s"), "_s", "left_semi").select(*COLUMNS)
+    return now.unionByName(about)
+
+
+def extract_bottom(axioms: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The bottom-locality module of ``seeds`` (``id``): all that the axioms say of them from above, with declarations and annotations of its names."""
+    return extract(axioms, seeds, "bot")
+
+
+def extract_top(axioms: DataFrame, seeds: DataFrame) -> DataFrame:
+    return extract(axioms, seeds, "top")
+
+
+def extract_star(axioms: DataFrame, seeds: DataFrame) -> DataFrame:
+    return extract(axioms, seeds, "star")
 
 
 def mireot(axioms: DataFrame, lower: DataFrame, upper: DataFrame | None = None, branch: DataFrame | None = None) -> DataFrame:

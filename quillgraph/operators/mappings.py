@@ -281,6 +281,127 @@ def validate(df: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
     return out
 
 
+#: Slots that hold lists, floats of a row, and the order of columns that written sets have.
+MULTIVALUED = ("creator_id", "creator_label", "author_id", "author_label", "reviewer_id", "reviewer_label", "mapping_source", "subject_match_field", "object_match_field", "subject_preprocessing", "object_preprocessing", "match_string", "curation_rule", "curation_rule_text", "see_also", "other", "subject_source", "object_source")
+FLOATS = ("confidence", "similarity_score")
+COLUMN_ORDER = (
+    "record_id subject_id subject_label subject_category predicate_id predicate_label predicate_modifier object_id object_label object_category mapping_justification author_id author_label reviewer_id reviewer_label creator_id creator_label license "
+    "subject_type subject_source subject_source_version object_type object_source object_source_version predicate_type mapping_provider mapping_source mapping_cardinality mapping_tool mapping_tool_id mapping_tool_version mapping_date publication_date review_date "
+    "reviewer_agreement confidence curation_rule curation_rule_text subject_match_field object_match_field match_string subject_preprocessing object_preprocessing similarity_score similarity_measure see_also issue_tracker_item other comment"
+).split()
+#: Prefixes that need no declaration, and how an ontology's header wants its cross-references read.
+BUILT_IN_PREFIXES = ("owl", "rdf", "rdfs", "semapv", "skos", "sssom", "xsd", "linkml")
+TREATED = {"treat-xrefs-as-equivalent": "skos:exactMatch", "treat-xrefs-as-is_a": "skos:broadMatch", "treat-xrefs-as-has-subclass": "skos:narrowMatch", "treat-xrefs-as-genus-differentia": "semapv:crossSpeciesExactMatch", "treat-xrefs-as-reverse-genus-differentia": "semapv:crossSpeciesExactMatch"}
+
+
+def annotate(metadata: dict, values: dict[str, list[str]], replace: bool = False) -> dict:
+    """A set's metadata with ``values``: lists are appended to, or replaced on request; other slots take their last value."""
+    out = dict(metadata)
+    for slot, new in values.items():
+        if slot not in MULTIVALUED:
+            out[slot] = new[-1] if new else ""
+            continue
+        before = out.get(slot, [])
+        before = before if isinstance(before, list) else [before]
+        out[slot] = list(new) if replace else [*before, *new]
+    return out
+
+
+def rounded(df: DataFrame, places: int = 3) -> DataFrame:
+    """Numbers in ``FLOATS`` with so many places at most, without zeros at their end; what is no number stays."""
+    for c in FLOATS:
+        if c in df.columns:
+            x = F.regexp_replace(F.format_string(f"%.{places}f", F.col(c).try_cast("double")), "\\.?0+$", "")
+            df = df.withColumn(c, F.when(F.col(c).try_cast("double").isNotNull(), x).otherwise(F.col(c)))
+    return df
+
+
+def canonicalize(df: DataFrame, metadata: dict) -> tuple[DataFrame, dict]:
+    """A set as it is published: slots with one value for all rows stand in the metadata, numbers are rounded, only prefixes in use are declared, columns and rows are in order."""
+    df, same = condense(df)
+    names = [c for c in COLUMN_ORDER if c in df.columns] + sorted(c for c in df.columns if c not in COLUMN_ORDER)
+    df = rounded(df).select(*names)
+    out = dict(metadata) | same
+    if isinstance(out.get("curie_map"), dict):
+        ids = [c for c in names if c.endswith("_id") or c in ("mapping_justification", "subject_category", "object_category")]
+        used = {r[0] for c in ids for r in df.select(F.substring_index(c, ":", 1)).filter(F.col(c).contains(":")).distinct().collect()}  # prefixes are few
+        used |= {str(v).split(":", 1)[0] for k, v in out.items() if k != "curie_map" and isinstance(v, str)}
+        out["curie_map"] = {p: iri for p, iri in out["curie_map"].items() if p in used and p not in BUILT_IN_PREFIXES}
+    return df.orderBy(*names), out
+
+
+def xref_extract(
+    statements: DataFrame, predicates: dict[str, str] | None = None, every: bool = False, obsolete: bool = False, drop_duplicates: bool = False, ignore_header: bool = False
+) -> DataFrame:
+    """Mappings from the cross-references of declared classes.
+
+    A reference's prefix gives the predicate: by the ontology's own header (``TREATED``, unless ``ignore_header``) and by ``predicates``, which comes first; other
+    references are left out, or, with ``every``, are ``oio:hasDbXref``. Deprecated classes are left out unless ``obsolete``. ``drop_duplicates`` drops references that
+    several classes have, after stating ``mapping_cardinality``.
+    """
+    classes = statements.filter("predicate = 'rdf:type' and object = 'owl:Class' and subject not like '\\\\_:%'").select("subject").distinct()
+    if not obsolete:
+        classes = classes.join(statements.filter("predicate = 'owl:deprecated' and value = 'true'").select("subject").distinct(), "subject", "left_anti")
+    known = dict(predicates or {})
+    if not ignore_header:
+        told = F.substring_index("predicate", ":", -1)
+        for r in statements.filter(F.col("predicate").startswith("oio:") & told.isin(*TREATED)).select(told.alias("how"), "value").distinct().orderBy("how", "value").collect():  # the header
+            known.setdefault((r["value"] or "").split(" ")[0], TREATED[r["how"]])
+    prefix = F.substring_index("value", ":", 1)
+    predicate = F.lit("oio:hasDbXref") if every else F.lit(None).cast("string")
+    for p, to in known.items():
+        predicate = F.when(prefix == p, F.lit(to)).otherwise(predicate)
+    labels = statements.filter("predicate = 'rdfs:label'").groupBy("subject").agg(F.min("value").alias("subject_label"))
+    refs = statements.filter("predicate = 'oio:hasDbXref' and value like '%:%'").join(classes, "subject", "left_semi").withColumn("predicate_id", predicate).filter("predicate_id is not null")
+    rows = refs.join(labels, "subject", "left").select(F.col("subject").alias("subject_id"), "subject_label", "predicate_id", F.col("value").alias("object_id"), F.lit("semapv:UnspecifiedMatching").alias("mapping_justification")).distinct()
+    if not drop_duplicates:
+        return rows
+    rows = cardinality(rows)
+    several = rows.groupBy("object_id").agg(F.count_distinct("subject_id").alias("n")).filter("n > 1").select("object_id")
+    return rows.join(several, "object_id", "left_anti").select(*rows.columns)
+
+
+def inject(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """``statements`` that a set's mappings make, by ``rules`` in order: ``where`` (slots and globs, as for ``select``) and an action: ``stop``, ``invert``, or ``make`` with
+    ``subject``, ``predicate`` and ``object`` or ``value``, in which ``{slot}`` stands for the row's value. A row that a ``stop`` rule matches goes no further.
+    """
+    null, out = F.lit(None).cast("string"), None
+
+    def said(template: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[F.lit(x) if i % 2 == 0 else F.coalesce(_column(df, x), F.lit("")) for i, x in enumerate(parts)])
+
+    for r in rules:
+        mine = select(df, r.get("where", {}))
+        if r["do"] == "stop":
+            df = df.exceptAll(mine)
+        elif r["do"] == "invert":
+            df = df.exceptAll(mine).unionByName(invert(mine).select(*df.columns))
+        elif r["do"] == "make":
+            s = said(r["subject"])
+            made = mine.select(s.alias("stanza"), s.alias("subject"), said(r["predicate"]).alias("predicate"), (said(r["object"]) if "object" in r else null).alias("object"), (said(r["value"]) if "value" in r else null).alias("value"), (F.lit("xsd:string") if "value" in r else null).alias("datatype"), null.alias("language"))
+            out = made if out is None else out.unionByName(made)
+        else:
+            raise ValueError(f"unknown action {r['do']!r}")
+    if out is None:
+        raise ValueError("no rule makes anything")
+    return out.distinct()
+
+
+def to_json(df: DataFrame, metadata: dict) -> DataFrame:
+    """A set as JSON lines (``value``): one of the metadata, and one of each mapping, lists as lists and numbers as numbers."""
+    import json
+
+    def cell(c: str) -> Column:
+        x = F.nullif(F.col(c), F.lit(""))
+        if c in MULTIVALUED:
+            return F.transform(F.split(x, r"(?<!\\)\|"), lambda v: F.replace(v, F.lit("\\|"), F.lit("|"))).alias(c)
+        return (x.try_cast("double") if c in FLOATS else x).alias(c)
+
+    rows = df.select(F.to_json(F.struct(*[cell(c) for c in df.columns])).alias("value"))
+    return df.sparkSession.createDataFrame([(json.dumps(metadata, ensure_ascii=False),)], "value string").union(rows)
+
+
 def dosql(query: str, **tables: DataFrame) -> DataFrame:
     """Any SQL over mapping sets bound by name; ``df`` is the last. Columns whose non-empty values are all numbers are numbers."""
     bound = {}

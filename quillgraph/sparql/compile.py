@@ -7,12 +7,14 @@ side, as told from the pattern, is joined by SPARQL's compatibility.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators.closure import closure
+from quillgraph.session import Kept
 from quillgraph.sparql.parser import Parser, Query, iri, literal
 
 Plan = tuple[DataFrame, set[str], set[str]]  # rows, variables, those that may be unbound
@@ -40,6 +42,10 @@ def datatype(t: Column) -> Column:
 _NUMERIC = ("xsd:integer", "xsd:decimal", "xsd:double", "xsd:float", "xsd:int", "xsd:long", "xsd:nonNegativeInteger")
 
 
+def _has_closure(p) -> bool:
+    return isinstance(p, tuple) and (p[0] in ("star", "plus") or p[0] in ("seq", "alt", "inv", "opt") and any(_has_closure(x) for x in p[1:]))
+
+
 class Engine:
     def __init__(self, quads: DataFrame, prefixes: dict[str, str] | None = None):
         self.quads, self.prefixes, self.spark = quads, prefixes or {}, quads.sparkSession
@@ -66,6 +72,19 @@ class Engine:
                 found = rows if found is None else found.union(rows)
         return found.distinct()
 
+    def solutions(self, text: str) -> DataFrame:
+        """A SELECT's rows as terms: IRIs in brackets, literals with their type or language."""
+        q = Parser(text, self.prefixes).query()
+        if q.form != "select":
+            raise ValueError("only SELECT has solutions")
+        df, names = self.select(q)
+        return df.select(*[F.col(f"`{n}`") for n in names])
+
+    def explain(self, text: str, mode: str = "formatted") -> str:
+        """The physical plan of a query."""
+        df = self.query(text)
+        return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
     def update(self, text: str) -> DataFrame:
         """The quads after all updates, in order."""
         now = self.quads
@@ -162,12 +181,12 @@ class Engine:
 
         def flush() -> None:
             nonlocal plan, triples, started
-            # the most selective patterns first; each joined to what it shares a variable with
-            todo = sorted(triples, key=lambda t: (sum(x[0] == "var" for x in (t[1], t[3])) + 2 * (t[2][0] == "var") + (t[2] == ("iri", iri("rdf:type")))))
+            # the most selective patterns first, closures without a known end last; each joined to what it shares a variable with
+            todo = sorted(triples, key=lambda t: (sum(x[0] == "var" for x in (t[1], t[3])) + 2 * (t[2][0] == "var") + (t[2] == ("iri", iri("rdf:type"))) + 3 * (_has_closure(t[2]) and t[1][0] == t[3][0] == "var")))
             while todo:
                 pick = next((t for t in todo if not started or plan[1] & {x[1] for x in t[1:] if x[0] == "var"}), todo[0])
                 todo.remove(pick)
-                plan = self.join(plan, self.triple(pick)) if started else self.triple(pick)
+                plan = self.join(plan, self.triple(pick, plan)) if started else self.triple(pick)
                 started = True
             triples = []
 
@@ -203,14 +222,26 @@ class Engine:
             plan = self.filter(plan, f)
         return plan
 
-    def triple(self, t: tuple) -> Plan:
+    def triple(self, t: tuple, plan: Plan | None = None) -> Plan:
+        """A pattern's rows; a path with closures starts from an end that is known: a term, or a variable that ``plan`` binds in every row."""
         _, s, p, o = t
         if p[0] == "var":
             df = self._default
             cols = [("s", s), ("p", p), ("o", o)]
         else:
-            df = self.path(p)
             cols = [("s", s), ("o", o)]
+            known = [(c, x) for c, x in cols if x[0] == "term"] + [(c, x) for c, x in cols if plan and x[0] == "var" and x[1] in plan[1] - plan[2]]
+            if known and _has_closure(p):
+                end, x = known[0]
+                if x[0] == "term":
+                    seeds = self.spark.createDataFrame([(x[1],)], "n string")
+                else:
+                    values = plan[0].select(F.col(x[1]).alias("n")).distinct()
+                    nodes = [values.join(self._default.select(F.col(c).alias("n")), "n", "left_semi") for c in ("s", "o")]
+                    seeds = nodes[0].union(nodes[1]).distinct()
+                df = self.path_from(p, seeds, end)
+            else:
+                df = self.path(p)
         names: dict[str, str] = {}
         for c, x in cols:
             if x[0] == "term":
@@ -221,6 +252,46 @@ class Engine:
                 names[x[1]] = c
         return df.select(*[F.col(c).alias(n) for n, c in names.items()]), set(names), set()
 
+    def path_from(self, p: tuple, seeds: DataFrame, end: str) -> DataFrame:
+        """(s, o) of a path whose ``end`` is one of ``seeds`` (``n``): as ``path``, but closures grow from the seeds alone."""
+        other = "o" if end == "s" else "s"
+        if p[0] == "inv":
+            return self.path_from(p[1], seeds, other).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        if p[0] == "alt":
+            return self.path_from(p[1], seeds, end).union(self.path_from(p[2], seeds, end))
+        if p[0] == "seq":
+            one, two = (p[1], p[2]) if end == "s" else (p[2], p[1])
+            near = self.path_from(one, seeds, end).withColumnRenamed(other, "_m")
+            far = self.path_from(two, near.select(F.col("_m").alias("n")).distinct(), end).withColumnRenamed(end, "_m")
+            return near.join(far, "_m").select("s", "o")
+        if p[0] not in ("star", "plus", "opt"):
+            return self.path(p).join(seeds.withColumnRenamed("n", end), end, "left_semi").select("s", "o")
+        own = seeds.select(F.col("n").alias("s"), F.col("n").alias("o"))
+        if p[0] == "opt":
+            return self.path_from(p[1], seeds, end).union(own).distinct()
+        found = self._reach(p, seeds, end)
+        return (found.union(own) if p[0] == "star" else found).distinct()
+
+    def _reach(self, p: tuple, seeds: DataFrame, end: str) -> DataFrame:
+        """(s, o): seeds and what one or more steps of ``p``'s inner path lead to. A round takes one more step from what the last one found."""
+        other = "o" if end == "s" else "s"
+        kept = Kept(self.spark, "reach")
+        fresh = kept.keep(seeds.select(F.col("n").alias("_seed"), F.col("n").alias("_at")), "r0")
+        seen, i = None, 0
+        while True:
+            i += 1
+            step = self.path_from(p[1], fresh.select(F.col("_at").alias("n")).distinct(), end).select(F.col(end).alias("_at"), F.col(other).alias("_to")).distinct()
+            grown = fresh.join(step, "_at").select("_seed", F.col("_to").alias("_at")).distinct()
+            if seen is not None:
+                grown = grown.join(seen, ["_seed", "_at"], "left_anti")
+            fresh = kept.keep(grown, f"r{i}")
+            if fresh.isEmpty():
+                break
+            seen = kept.keep(fresh if seen is None else seen.union(fresh), f"seen{i}")
+            kept.drop(f"seen{i - 1}")
+        pairs = fresh if seen is None else seen
+        return pairs.select(F.col("_seed").alias(end), F.col("_at").alias(other)).select("s", "o")
+
     def path(self, p: tuple) -> DataFrame:
         """(s, o) of a path. Only closures are sets; the rest keeps duplicates."""
         kind = p[0]
@@ -302,8 +373,24 @@ class Engine:
         shared = a[1] & b[1]
         if not shared & (a[2] | b[2]) and shared:
             return a[0].join(b[0], sorted(shared)), a[1] | b[1], a[2] | b[2]
-        df = self._joined(a, b, "inner")
-        return self._merged(df, a, b), a[1] | b[1], (a[2] | b[2]) - (shared - (a[2] & b[2]))
+        # a variable that may be unbound is joined apart where both sides have it, by equality, and where one has not
+        loose = sorted(shared & (a[2] | b[2]))
+        arms = []
+        for bound in itertools.product((True, False), repeat=len(loose)):
+            x, y, residue = a[0], b[0], None
+            for c, both in zip(loose, bound, strict=True):
+                if both:
+                    x, y = x.filter(F.col(c).isNotNull()), y.filter(F.col(c).isNotNull())
+                else:
+                    apart = F.col(c).isNull() | F.col(f"{c}__r").isNull()
+                    residue = apart if residue is None else residue & apart
+            same = sorted(shared - {c for c, both in zip(loose, bound, strict=True) if not both})
+            open_ = [c for c, both in zip(loose, bound, strict=True) if not both]
+            right = y.select(*[F.col(c).alias(f"{c}__r") if c in open_ else F.col(c) for c in sorted(b[1])])
+            df = x.join(right, same) if same else x.crossJoin(right)
+            df = df if residue is None else df.filter(residue)
+            arms.append(df.select(*[F.coalesce(F.col(c), F.col(f"{c}__r")).alias(c) if c in open_ else F.col(c) for c in sorted(a[1] | b[1])]))
+        return reduce(DataFrame.union, arms), a[1] | b[1], (a[2] | b[2]) - (shared - (a[2] & b[2]))
 
     def _merged(self, df: DataFrame, a: Plan, b: Plan) -> DataFrame:
         shared = a[1] & b[1]
