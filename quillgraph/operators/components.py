@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         large = oriented(both.join(low, "a").filter(b > a).select(b.alias("a"), F.col("low").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(b.alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-        now = kept.keep(oriented(small), f"r{i}")
+        now = kept.keep(oriented(small), f"r{i}", rows=seen[0])
         kept.drop(f"r{i - 1}")
         if (new := mark(now)) == seen:
             roots = now.select(b.alias("node"), b.alias("component")).distinct()

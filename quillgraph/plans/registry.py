@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import axiom_queries, export_queries, graph_queries, mapping_queries, qc_queries, sparql_queries, views
+from quillgraph.plans import authoring_queries, axiom_queries, export_queries, graph_queries, mapping_queries, qc_queries, sparql_queries, views
 from quillgraph.plans.view_sql import with_views
 from quillgraph.sources.driver_tables import LOOP_STATEMENTS, ODD_STATEMENTS, statements
 
@@ -33,6 +33,6 @@ for _name, _schema in views.EMPTY.items():
     QUERIES[f"view_{_name}"] = _view_query(_name)
     SQL[f"view_{_name}"] = "SELECT " + ", ".join(f"CAST(NULL AS {'BIGINT' if c.split()[1] == 'bigint' else 'VARCHAR'}) AS {c.split()[0]}" for c in _schema.split(", ")) + " WHERE false"
 
-for _module in (graph_queries, mapping_queries, sparql_queries, qc_queries, export_queries, axiom_queries):
+for _module in (graph_queries, mapping_queries, sparql_queries, qc_queries, export_queries, axiom_queries, authoring_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -25,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows that a file of a kept table has at least, where their number is known.
+FILE_ROWS = 20_000
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,8 +51,11 @@ class Kept:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df``, written and read again. ``rows`` is about how many it has at most: where partitions are many and small, a file holds several."""
         at = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         with shuffles_removed(self.spark):
             df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
