@@ -403,12 +403,15 @@ def to_json(df: DataFrame, metadata: dict) -> DataFrame:
 
 
 def dosql(query: str, **tables: DataFrame) -> DataFrame:
-    """Any SQL over mapping sets bound by name; ``df`` is the last. Columns whose non-empty values are all numbers are numbers."""
-    bound = {}
+    """Any SQL over mapping sets bound by name; ``df`` is the last. Columns whose non-empty values are all numbers are numbers, as far as the query names them."""
+    bound, words = {}, set(re.findall(r"\w+", query.lower()))
     for name, df in tables.items():
-        names = [c for c, t in df.dtypes if t == "string"]
+        names = [c for c, t in df.dtypes if t == "string" and ("*" in query or c.lower() in words)]
+        if not names:
+            bound[name] = df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+            continue
         row = df.agg(*[F.sum(((F.coalesce(F.col(c), F.lit("")) != "") & F.col(c).try_cast("double").isNull()).cast("int")).alias(c) for c in names], *[F.count(F.nullif(F.col(c), F.lit(""))).alias(f"_n_{c}") for c in names]).first() if names else {}
-        typed = [F.nullif(F.col(c), F.lit("")).cast("double").alias(c) if c in names and row[f"_n_{c}"] and not row[c] else F.nullif(F.col(c), F.lit("")).alias(c) if c in names else F.col(c) for c in df.columns]
+        typed = [F.nullif(F.col(c), F.lit("")).cast("double").alias(c) if c in names and row[f"_n_{c}"] and not row[c] else F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
         bound[name] = df.select(*typed)
     spark = next(iter(tables.values())).sparkSession
     last = list(bound.values())[-1]

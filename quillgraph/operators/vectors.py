@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR_GUARD = 2_000_000_000
+#: Bytes of vectors that are broadcast at once.
+BLOCK_BYTES = 32 << 20
 
 
 def _norm(v):
@@ -45,9 +51,14 @@ def semsim(one: DataFrame, two: DataFrame, key: str, threshold: float) -> DataFr
         v = df.select(F.col(key).alias(name), F.col("embedding").cast("array<double>").alias("v")).withColumn("n", _norm(F.col("v"))).filter("n > 0")
         return v.select(name, F.transform("v", lambda x: x / F.col("n")).alias(f"v{name}"))
 
-    # the smaller side is within the guard's square root of rows
-    pairs = unit(one, "a").crossJoin(F.broadcast(unit(two, "b")) if m <= 50_000 else unit(two, "b"))
-    return pairs.select("a", "b", _dot(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= threshold)
+    # one side in blocks of known size, each broadcast: a set of queries against all rows
+    one, two, flipped = (two, one, True) if m > n else (one, two, False)
+    width = max(1, two.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    blocks = max(1, -(-min(n, m) * 8 * width // BLOCK_BYTES))
+    held = unit(two, "b").withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)))
+    pairs = reduce(DataFrame.union, [unit(one, "a").crossJoin(F.broadcast(held.filter(F.col("block") == k).drop("block"))) for k in range(blocks)])
+    ids = (F.col("b").alias("a"), F.col("a").alias("b")) if flipped else ("a", "b")
+    return pairs.select(*ids, _dot(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= threshold)
 
 
 def search(df: DataFrame, query: list[float], key: str, k: int) -> DataFrame:
@@ -74,10 +85,19 @@ def principal_components(df: DataFrame, k: int, vector: str = "embedding") -> tu
     x = [F.element_at(vector, i + 1).cast("double") for i in range(n)]
     row = df.agg(F.count("*"), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i in range(n) for j in range(i, n)]).first() if n <= 32 else None
     if row is None:
-        moments = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "a"), F.col(vector).cast("array<double>").alias("v"))
-        rows = moments.select("i", "a", F.posexplode("v").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")), F.sum("a"), F.count("*")).collect()
+
+        def moments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A partition's sums: one row for each pair of components, whatever the number of vectors."""
+            gram, total, count = np.zeros((n, n)), np.zeros(n), 0
+            for part in parts:
+                v = np.stack([np.asarray(x, float) for x in part["v"]]) if len(part) else np.zeros((0, n))
+                gram, total, count = gram + v.T @ v, total + v.sum(0), count + len(v)
+            i, j = np.divmod(np.arange(n * n), n)
+            yield pd.DataFrame({"i": i, "j": j, "ab": gram.ravel(), "a": total[i], "c": count})
+
+        sums = df.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(moments, "i int, j int, ab double, a double, c long")
         second, total, count = np.zeros((n, n)), np.zeros(n), 1
-        for i, j, ab, a, c in rows:
+        for i, j, ab, a, c in sums.groupBy("i", "j").agg(F.sum("ab"), F.sum("a"), F.sum("c")).collect():  # the dimension's square
             second[i, j], total[i], count = ab, a, c
     else:
         count, total = row[0] or 1, np.array(row[1 : n + 1], float)
