@@ -174,14 +174,10 @@ def reduce(axioms: DataFrame) -> DataFrame:
 def materialise(axioms: DataFrame) -> DataFrame:
     """The axioms and the entailed existential restrictions between named classes."""
     rel = classify(axioms).materialised()
-    triples = rel.select(F.concat_ws("\u0001", "subject", "predicate", "object").alias("body"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [x.split("\u0001") for x in part["body"]]
-            yield pd.DataFrame([row(["SubClassOf", s, ["ObjectSomeValuesFrom", p, o]]) for s, p, o in rows], columns=list(COLUMNS))
-
-    return merge(axioms, triples.mapInPandas(run, SCHEMA))
+    quoted = [F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "") for c in ("subject", "predicate", "object")]
+    body = F.concat(F.lit('["SubClassOf", '), quoted[0], F.lit(', ["ObjectSomeValuesFrom", '), quoted[1], F.lit(", "), quoted[2], F.lit("]]"))
+    names = F.array_sort(F.array_distinct(F.array("subject", "predicate", "object")))
+    return merge(axioms, rel.select(F.sha2(body, 256).alias("axiom_id"), F.lit("SubClassOf").alias("type"), body.alias("body"), names.alias("signature")))
 
 
 def repair(axioms: DataFrame, replaced_by: dict[str, str]) -> DataFrame:

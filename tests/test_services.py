@@ -95,3 +95,9 @@ def test_profiles(spark):
     assert ("SubClassOf", "ObjectUnionOf as subclass") in faults("QL") and ("SubObjectPropertyOf", "ObjectPropertyChain") in faults("QL")
     assert faults("RL") == {("SubClassOf", "ObjectSomeValuesFrom as supclass"), ("SubClassOf", "ObjectMinCardinality as supclass")}
     assert faults("DL") == {("SubClassOf", "non-simple role :t"), ("FunctionalObjectProperty", "non-simple role :u"), ("Declaration", "ObjectProperty and AnnotationProperty: :p")}
+
+
+def test_materialised_axioms_are_as_written(spark):
+    a = of(spark, "SubClassOf(:A ObjectSomeValuesFrom(:r :B))", "SubClassOf(:B :C)")
+    new = {(r["axiom_id"], r["body"], tuple(r["signature"])) for r in ax.unmerge(ax.materialise(a), a).collect()}
+    assert new == {(i, b, tuple(n)) for i, _, b, n in [ofn.row(["SubClassOf", ":A", ["ObjectSomeValuesFrom", ":r", ":C"]])]}
