@@ -12,7 +12,7 @@ from quillgraph.ontology import Ontology
 from quillgraph.operators import authoring, mappings
 from quillgraph.operators import axioms as ax
 from quillgraph.plans.views import COLUMNS
-from quillgraph.sources import lint, manchester, ofn, owx, patterns
+from quillgraph.sources import lint, manchester, ofn, owx, patterns, templates
 from quillgraph.sparql import results
 from quillgraph.sparql.compile import Engine, quads_of
 
@@ -79,6 +79,25 @@ def test_patterns(spark):
     assert not any("X:2" in b and "IAO" in b for b in bodies) and patterns.terms(pattern) == ["P:0", "P:q", "r:h", "r:i"]
 
 
+def test_templates(spark):
+    headers = {"i": "ID", "l": "LABEL", "t": "TYPE", "d": "A IAO:0000115", "n": ">AL rdfs:comment@en", "s": "SC 'part of' some % SPLIT=|", "e": "EC % and ('part of' some heart)", "k": "CLASS_TYPE", "c": "C %", "r": "RANGE", "x": "CHARACTERISTIC", "p": "IP %", "f": "I knows", "y": "AT ex:n^^xsd:integer"}
+    rows = [
+        ("X:1", "heart", None, "Pumps.", "note", "X:2|chest", None, "disjoint", "lung", None, None, None, None, "5"), ("X:2", "lung", "owl:Class", None, "unused", None, "chest", None, "heart", None, None, None, None, None), ("X:3", "chest", *[None] * 12),
+        ("r:p", "part of", "owl:ObjectProperty", None, None, None, None, None, None, "heart", "transitive", "r:h", None, None), ("i:1", None, "lung", None, None, None, None, None, None, None, None, None, "i:2", None), (None, "nobody", *[None] * 12),
+    ]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in headers))
+    got_ = {r["body"] for r in templates.axioms(table, headers, {"knows": "r:k"}).collect()}
+    want = [
+        ["Declaration", ["Class", "X:1"]], ["AnnotationAssertion", "rdfs:label", "X:1", '"heart"'], ["AnnotationAssertion", ["Annotation", "rdfs:comment", '"note"@en'], "IAO:0000115", "X:1", '"Pumps."'], ["SubClassOf", "X:1", ["ObjectSomeValuesFrom", "r:p", "X:2"]], ["SubClassOf", "X:1", ["ObjectSomeValuesFrom", "r:p", "X:3"]],
+        ["DisjointClasses", "X:1", "X:2"], ["AnnotationAssertion", "ex:n", "X:1", '"5"^^xsd:integer'], ["Declaration", ["Class", "X:2"]], ["AnnotationAssertion", "rdfs:label", "X:2", '"lung"'], ["EquivalentClasses", "X:2", ["ObjectIntersectionOf", "X:3", ["ObjectSomeValuesFrom", "r:p", "X:1"]]], ["SubClassOf", "X:2", "X:1"],
+        ["Declaration", ["Class", "X:3"]], ["AnnotationAssertion", "rdfs:label", "X:3", '"chest"'], ["Declaration", ["ObjectProperty", "r:p"]], ["AnnotationAssertion", "rdfs:label", "r:p", '"part of"'], ["ObjectPropertyRange", "r:p", "X:1"], ["TransitiveObjectProperty", "r:p"], ["InverseObjectProperties", "r:p", "r:h"],
+        ["Declaration", ["NamedIndividual", "i:1"]], ["ClassAssertion", "X:2", "i:1"], ["ObjectPropertyAssertion", "r:k", "i:1", "i:2"],
+    ]
+    assert got_ == {ofn.row(w)[2] for w in want}
+    with pytest.raises(Exception, match="unknown template"):
+        templates.axioms(table, {"i": "ID", "l": "NONSENSE x"}).collect()
+
+
 def test_table_lint_and_translations(spark, tmp_path):
     (tmp_path / "t.tsv").write_bytes(b"# note\nid\tname\t\tid\nA\t x\ty\tz\nB\tq \t\n\nC\tr\r\ty\t\xc3\xa9\n")
     found = got(lint.lint_table(spark, str(tmp_path / "t.tsv"), "#").select("line", "code", "cell"))
