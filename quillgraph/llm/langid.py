@@ -109,18 +109,17 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 25) -> t
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * n * c / 100
     for _ in range(steps):
         gap = 1 - y * (x @ w + b)
-        on = gap > 0
-        k, xa = share[on], x[on]
-        back = -2 * k * gap[on] * y[on]
-        g, gb = w + back @ xa, back.sum()
+        k = np.where(gap > 0, share, 0)  # rows that count; the matrix is not copied
+        back = -2 * k * gap * y
+        g, gb = w + back @ x, back.sum()
         if np.sqrt(g @ g + gb * gb) < 1e-3:
             break
         p, pb = np.zeros_like(w), 0.0
         r, rb = -g, -gb
         q, qb, rr = r.copy(), rb, r @ r + rb * rb
         for _ in range(40):
-            z = 2 * k * (xa @ q + qb)
-            h, hb = q + z @ xa, z.sum() + 1e-6 * qb
+            z = 2 * k * (x @ q + qb)
+            h, hb = q + z @ x, z.sum() + 1e-6 * qb
             a = rr / max(q @ h + qb * hb, 1e-12)
             p, pb, r, rb = p + a * q, pb + a * qb, r - a * h, rb - a * hb
             new = r @ r + rb * rb
@@ -173,19 +172,19 @@ class Usual:
         """From rows of features, their languages and sizes in bytes: whole documents and short pieces."""
         logs = np.empty((x.shape[1], len(codes)), np.float32)
         out = Usual(codes, logs, np.zeros(len(codes)), np.ones(len(codes)), np.ones(len(codes)), DEVIATIONS)
-        at = np.array([codes.index(c) for c in lang])
+        at, values = np.array([codes.index(c) for c in lang]), np.zeros(len(lang))
         for k in range(len(codes)):
             total = x[at == k].sum(0, dtype=np.float64).reshape(len(ORDERS), BUCKETS)
             share = (total / np.maximum(total.sum(1, keepdims=True), 1e-9) + 0.05 / BUCKETS) / 1.05
             logs[:, k] = np.log2(share).ravel()
             value, n = x[at == k] @ logs[:, k], size[at == k]
+            values[at == k] = value
             out.mean[k] = np.median(value)
             far, long = (value - out.mean[k]) ** 2, n >= np.median(n)
             # without the farthest fiftieth, so that a few texts with a wrong label do not widen what is usual
             out.spread[k] = max(1e-3, _trimmed(far[long]))
             out.noise[k] = max(1e-3, _trimmed(np.maximum(far[~long] - out.spread[k], 0) * n[~long])) if (~long).any() else 1e-3
-        every = out._below(np.einsum("nd,dn->n", x, logs[:, at]), size, at)
-        out.limit = max(DEVIATIONS, SLACK * float(np.quantile(every, 0.995)))
+        out.limit = max(DEVIATIONS, SLACK * float(np.quantile(out._below(values, size, at), 0.995)))
         return out
 
 
@@ -262,7 +261,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     x = np.zeros((len(rows), BUCKETS * len(ORDERS)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
-    lang = np.array([r["lang"] for r in rows], object)
+    lang, size = np.array([r["lang"] for r in rows], object), np.array([max(1, r["size"]) for r in rows])
+    del rows
     kin = np.array([_FAMILY_OF.get(c, c) for c in lang], object)
     found = []
 
@@ -272,14 +272,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     if len(families) > 1:
         for f in families:
-            learn((f, None, None), np.ones(len(rows), bool), kin == f)
+            learn((f, None, None), np.ones(len(lang), bool), kin == f)
     for f in families:
         for a, b in itertools.combinations(model.languages[f], 2):
             learn((a, b, f), (lang == a) | (lang == b), lang == a)
     if found:
         model.weights = np.stack([w for w, _ in found], 1)
         model.biases = np.array([b for _, b in found])
-    model.usual = Usual.learned(codes, x, lang, np.array([max(1, r["size"]) for r in rows]))
+    model.usual = Usual.learned(codes, x, lang, size)
     return model
 
 
