@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_pieces(parts: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a worker holds little beside a batch."""
+    for part in parts:
+        for at in range(0, max(1, part.num_rows), rows):
+            yield part.slice(at, rows)
+
+
 def crc_mod(doc_id: str, divisor: int):
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(divisor))

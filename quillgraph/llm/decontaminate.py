@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import in_pieces, table
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -225,7 +225,7 @@ def scan(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
     for index in indexes(items, words_a_pass, threshold, overlap):
 
         def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
-            for part in batches:
+            for part in in_pieces(batches):
                 rows = [(i, *leak) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for leak in index.value.leaks(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x.type) for k, x in enumerate(fields)], schema=fields)
 
@@ -239,7 +239,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for index in indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_pieces(batches):
                 yield batch.filter(pa.array([not index.value.leaks(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

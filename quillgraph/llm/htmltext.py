@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import in_pieces, table
 
 #: How HTML treats its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -388,7 +388,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Field(weights, link)
-        for part in parts:
+        for part in in_pieces(parts):
             texts = [main_text(h, here) for h in part.column("_html").to_pylist()]
             columns = [part.column(f.name) for f in fields] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "text", "n_chars"])

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, table
+from quillgraph.llm.common import crc_mod, in_pieces, table
 from quillgraph.llm.tokens import batches
 
 #: Families of languages by ISO 639-1 code. Other codes are families of their own.
@@ -293,7 +293,7 @@ def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in in_pieces(parts):
             pred, score = model.predict(part.column("_text").to_pylist())
             letters = part.column("_letters").to_pylist()
             told = [p if has else "und" for p, has in zip(pred, letters, strict=True)]
@@ -313,7 +313,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     letter = regex.compile(r"\p{L}")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in in_pieces(parts):
             texts = part.column("text").to_pylist()
             pred, _ = model.predict(texts)
             far = model.usual.below(texts, pred) > model.usual.limit if model.usual else np.ones(len(texts), bool)

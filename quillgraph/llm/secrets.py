@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import in_pieces, table
 
 
 @dataclass(frozen=True)
@@ -344,7 +344,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = linked(automaton)
-        for part in parts:
+        for part in in_pieces(parts):
             out = []
             for t in part.column("_t").to_pylist():
                 data = t.encode("utf-8", "surrogatepass") if t else b""

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64)
