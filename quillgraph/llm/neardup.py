@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import joined, table
+from quillgraph.llm.common import in_pieces, joined, table
 from quillgraph.llm.tokens import batches, mix, shingle_sets
 from quillgraph.operators.components import connected_components
 from quillgraph.session import Kept
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = bands(percent, 1 << 16)
-        for part in parts:
+        for part in in_pieces(parts):
             rows = []
             for _, _, texts in batches(part.column("_t").to_pylist()):
                 for s in shingle_sets(texts, words):
@@ -149,7 +149,8 @@ def _may_link(a: str, b: str, percent: int):
 def _verified(kept: Kept, name: str, pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose sets have the similarity."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = kept.keep(nodes.join(firsts.select("node", "first"), "node"), f"{name}-wanted")
+    n = 2 * pairs.count()
+    wanted = kept.keep(nodes.join(firsts.select("node", "first"), "node"), f"{name}-wanted", rows=n)
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -158,7 +159,7 @@ def _verified(kept: Kept, name: str, pairs: DataFrame, firsts: DataFrame, docs:
 
     given = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     read = joined(given, wanted.select(F.col("first").alias("_id")).distinct(), ["_id"], "left_semi").mapInPandas(sets, "node long, s binary")
-    have = kept.keep(joined(read, wanted.select("node"), ["node"], "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+    have = kept.keep(joined(read, wanted.select("node"), ["node"], "left_semi").dropDuplicates(["node"]), f"{name}-sets", rows=8 * n)
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -170,7 +171,7 @@ def _verified(kept: Kept, name: str, pairs: DataFrame, firsts: DataFrame, docs:
             yield part.loc[good, ["a", "b"]]
 
     sided = pairs.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return kept.keep(sided.mapInPandas(compare, "a long, b long"), f"{name}-links")
+    return kept.keep(sided.mapInPandas(compare, "a long, b long"), f"{name}-links", rows=8 * n)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -190,16 +191,17 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     """Every row's ``doc``, ``t`` (a hash of its text), ``n``, ``node`` (null for an empty set) and ``component``."""
     kept = Kept(docs.sparkSession, "neardup")
     all_rows = kept.keep(signatures(docs, id_col, text_col, words, percent), "signatures")
+    n = all_rows.count()
     rows = all_rows.filter(F.col("doc").isNotNull() & F.col("node").isNotNull())
-    firsts = kept.keep(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "firsts")
+    firsts = kept.keep(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "firsts", rows=n)
 
     # the first row of each set stands for it
     others = joined(rows.select("node", "doc"), firsts.filter("rows > 1").select("node", "first"), ["node"]).filter("doc > first").select("node", "doc").distinct()
-    others = kept.keep(others, "others")
+    others = kept.keep(others, "others", rows=n)
     alone = joined(rows.select("node", "doc", "keys"), others, ["node", "doc"], "left_anti")
     keyed = alone.select("node", F.explode("keys").alias("key"))
     often = keyed.filter(F.pmod("node", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") >= max(1, HOT // SAMPLED))
-    often = kept.keep(often.select("key", F.ceil(F.col("k") * SAMPLED / HOT).cast("int").alias("deals")), "often")
+    often = kept.keep(often.select("key", F.ceil(F.col("k") * SAMPLED / HOT).cast("int").alias("deals")), "often", rows=n)
     hot = F.lit(False)
     met = keyed.withColumn("deal", F.lit(0))
     if not often.isEmpty():
@@ -210,6 +212,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     met = met.withColumn("next", F.lead("node").over(by_key)).withColumn("last", F.lag("node").over(by_key))
     met = met.filter(hot | (F.coalesce("next", "node") != F.col("node")) | (F.coalesce("last", "node") != F.col("node")))
     met = kept.keep(met.select("key", "deal", "node").distinct(), "met")
+    cells = met.count()
 
     last = F.lag("node").over(by_key)
     start = F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -224,20 +227,20 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         y = side.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(_may_link("x", "y", percent)).select("a", "b")
 
-    pairs = kept.keep(bounded(near), "near")
+    pairs = kept.keep(bounded(near), "near", rows=n)
     links = _verified(kept, "near", pairs, firsts, docs, id_col, text_col, words, percent)
-    parts = kept.keep(connected_components(links, "a", "b"), "parts")
+    parts = kept.keep(connected_components(links, "a", "b"), "parts", rows=n)
 
     # blocks whose nodes are still in different components: the rest of their pairs, of which one is outside the block's largest part
-    placed = kept.keep(met.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed")
+    placed = kept.keep(met.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed", rows=cells)
     held = placed.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("k"))
     split = held.filter("parts > 1 and k > 2").select("key", F.col("top.part").alias("largest"))
-    rest = kept.keep(placed.join(split, "key").join(side, "node"), "rest")
+    rest = kept.keep(placed.join(split, "key").join(side, "node"), "rest", rows=cells)
     x = rest.select("key", "largest", F.col("node").alias("a"), F.col("part").alias("pa"), F.struct("n", "sketch").alias("x"))
     y = rest.filter("part <> largest").select("key", F.col("node").alias("b"), F.col("part").alias("pb"), F.struct("n", "sketch").alias("y"))
     more = x.join(y, "key").filter((F.col("pa") != F.col("pb")) & ((F.col("pa") == F.col("largest")) | (F.col("a") < F.col("b"))) & _may_link("x", "y", percent))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = kept.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more = kept.keep(more.join(pairs, ["a", "b"], "left_anti"), "more", rows=cells)
     found = links
     if not more.isEmpty():
         found = links.unionByName(_verified(kept, "more", more, firsts, docs, id_col, text_col, words, percent))
@@ -246,7 +249,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     # components by their smallest id
     of_set = firsts.select("node", "first").join(parts, "node").withColumn("component_id", F.min("first").over(Window.partitionBy("component"))).select("node", F.col("component_id").alias("_c"))
     of_copies = firsts.filter("rows > 1").select("node", "first").join(of_set, "node", "left").select("node", F.coalesce("_c", "first").alias("_c"))
-    linked = kept.keep(of_copies.unionByName(of_set.join(of_copies, "node", "left_anti")), "linked")
+    linked = kept.keep(of_copies.unionByName(of_set.join(of_copies, "node", "left_anti")), "linked", rows=n)
     for name in ("met", "placed", "rest"):
         kept.drop(name)
     return joined(all_rows.select("doc", "t", "n", "node"), linked, ["node"], "left").select("doc", "t", "n", "node", F.when(F.col("doc").isNotNull(), F.coalesce("_c", "doc")).alias("component"))
@@ -260,10 +263,11 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     kept = Kept(docs.sparkSession, "one-of-each")
     rows = kept.keep(components(docs, "doc_id", "text", words, percent).filter("doc is not null and node is not null").select("doc", "t", "component"), "rows")
+    n = rows.count()
     first = rows.groupBy("component").agg(F.min(F.struct("doc", "t")).alias("k")).select(F.col("k.doc").alias("doc"), F.col("k.t").alias("t"))
     texts = rows.groupBy("doc", "t").agg(F.count("*").alias("rows"))
-    gone = kept.keep(texts.join(first, ["doc", "t"], "left_anti").select("doc", "t"), "gone")
-    twice = kept.keep(texts.filter("rows > 1").join(first, ["doc", "t"], "left_semi").select("doc", "t"), "twice")
+    gone = kept.keep(texts.join(first, ["doc", "t"], "left_anti").select("doc", "t"), "gone", rows=n)
+    twice = kept.keep(texts.filter("rows > 1").join(first, ["doc", "t"], "left_semi").select("doc", "t"), "twice", rows=n)
     names = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"))
     left = joined(own, gone, ["doc", "t"], "left_anti")

@@ -107,14 +107,14 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link:
     )
     base = kept.keep(base, "base")
     total = base.count()
-    groups = kept.keep(base.filter("link is not null").groupBy("link").agg(F.count("*").alias("copies")).filter("copies > 1").select("link"), "groups")
+    groups = kept.keep(base.filter("link is not null").groupBy("link").agg(F.count("*").alias("copies")).filter("copies > 1").select("link"), "groups", rows=total)
     linked = joined(base, groups, ["link"])
     linked = kept.keep(linked.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), "linked")
     n_linked = linked.count()
-    linked = kept.keep(numbered(linked, [], "b", ["link", "doc_id", "size", "text_crc32"], "v").drop("b").withColumn("c", F.floor(F.col("v") / BUCKET_ROWS)), "numbered")
+    linked = kept.keep(numbered(linked, [], "b", ["link", "doc_id", "size", "text_crc32"], "v").drop("b").withColumn("c", F.floor(F.col("v") / BUCKET_ROWS)), "numbered", rows=n_linked)
 
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    tally = kept.keep(linked.groupBy("link", F.pmod("v", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")), "tally0")
+    tally = kept.keep(linked.groupBy("link", F.pmod("v", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")), "tally0", rows=n_linked)
 
     def free() -> list[int]:
         have = {r["shard"]: r["n"] for r in tally.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # n_shards rows
@@ -126,9 +126,9 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link:
         if i > rounds:
             raise RuntimeError(f"label propagation did not settle in {rounds} rounds")
         whole = i % 2 == 0
-        wish = kept.keep(_wishes(tally, quota if whole else room, whole), f"wish{i}")
-        moves = kept.keep(_moves(wish), f"moves{i}")
-        admitted = kept.keep(_admitted(moves, room, n_linked), f"admitted{i}")
+        wish = kept.keep(_wishes(tally, quota if whole else room, whole), f"wish{i}", rows=n_linked)
+        moves = kept.keep(_moves(wish), f"moves{i}", rows=n_linked)
+        admitted = kept.keep(_admitted(moves, room, n_linked), f"admitted{i}", rows=n_linked)
         if admitted.isEmpty():
             idle += 1
         else:
@@ -136,7 +136,7 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link:
             gone = admitted.select("link", F.col("from").alias("shard"), (-F.col("m")).alias("n"))
             come = admitted.select("link", F.col("to").alias("shard"), F.col("m").alias("n"))
             now = tally.unionByName(gone).unionByName(come).groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
-            tally = kept.keep(now, f"tally{i}")
+            tally = kept.keep(now, f"tally{i}", rows=n_linked)
             room = free()
         for name in ("wish", "moves", "admitted"):
             kept.drop(f"{name}{i}")
@@ -153,7 +153,7 @@ def shards(docs: DataFrame, n_shards: int = 24, rounds: int = MAX_ROUNDS, link:
     pool = single.select(*columns).withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link"))
     pool = numbered(kept.keep(pool, "pool"), [], "b", ["doc_id", "size", "text_crc32", "link"], "at")
     filled = pool.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("at"))).cast("int"))
-    done = kept.keep(filled.select(*columns, "shard").unionByName(placed.select(*columns, "shard")), "done")
+    done = kept.keep(filled.select(*columns, "shard").unionByName(placed.select(*columns, "shard")), "done", rows=total)
     if order is None:
         done = numbered(done.withColumn("b", _bucket(total, "doc_id", "size", "text_crc32", "link")), ["shard"], "b", ["doc_id", "size", "text_crc32", "link"], "slot")
     else:
