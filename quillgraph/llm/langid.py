@@ -5,7 +5,7 @@ family by one linear machine for each pair, which vote. Features are relative fr
 bigrams and trigrams of the whole lower-cased text, so that a text's decision values are sums over its bytes.
 
 Machines only tell the learned languages from one another. Whether a text is in one of them at all is a test of its own: the mean
-log-probability of its n-grams in the predicted language, against what the learned documents of that language show at that length.
+log-probability of its n-grams in each language, against what the learned documents of that language show at that length.
 
 Nulls, empty texts and texts without a letter are ``und`` with score 0, and so is every text where nothing
 could be learned (an empty table, no ``lang``). With one language learned, that one has score 1. Repeated
@@ -46,7 +46,7 @@ ORDERS = (2, 3)
 SCALE = 64.0
 #: At most about so many labelled documents are learned from, an equal share for each language.
 SAMPLE_DOCS = 1600
-#: ``accepted`` rejects a text whose n-grams are less usual in its predicted language than the learned documents' by more than
+#: ``accepted`` rejects a text whose n-grams are less usual in every language than the learned documents' by more than
 #: so many standard deviations at its length, or than ``SLACK`` times what all but a few of the learned documents show, if that is more.
 DEVIATIONS = 11.0
 SLACK = 1.5
@@ -157,14 +157,13 @@ class Usual:
     noise: np.ndarray
     limit: float
 
-    def below(self, texts: list, pred: list[str]) -> np.ndarray:
-        """How many standard deviations each text is less usual than its predicted language's learned documents."""
-        at = np.array([self.codes.index(p) if p in self.codes else -1 for p in pred], np.int64)
-        value = sums(texts, self.logs)[np.arange(len(texts)), at]
+    def below(self, texts: list) -> np.ndarray:
+        """How many standard deviations each text is less usual than learned documents, in the language in which it is least so."""
+        value = sums(texts, self.logs)
         size = np.array([1 if t is None else max(1, len(t.encode("utf-8", "surrogatepass"))) for t in texts])
-        return np.where(at < 0, np.inf, self._below(value, size, at))
+        return np.stack([self._below(value[:, k], size, k) for k in range(len(self.codes))], 1).min(1) if texts else np.zeros(0)
 
-    def _below(self, value: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _below(self, value: np.ndarray, size: np.ndarray, at) -> np.ndarray:
         return (self.mean[at] - value) / np.sqrt(self.spread[at] + self.noise[at] / size)
 
     @staticmethod
@@ -315,8 +314,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_pieces(parts):
             texts = part.column("text").to_pylist()
-            pred, _ = model.predict(texts)
-            far = model.usual.below(texts, pred) > model.usual.limit if model.usual else np.ones(len(texts), bool)
+            far = model.usual.below(texts) > model.usual.limit if model.usual else np.ones(len(texts), bool)
             keep = [t is not None and not f and letter.search(t) is not None for t, f in zip(texts, far, strict=True)]
             yield part.filter(pa.array(keep, pa.bool_()))
 
