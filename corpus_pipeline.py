@@ -18,7 +18,7 @@ LONG_LINE = 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is null, empty, without a letter, or in none of the learned languages (``langid.accepted``).
+    """Drops documents whose text is null, empty, without a letter, or not in the language that the family and pair machines tell (``langid.accepted``).
 
     Learned from the labelled documents that are not held out. Rows go by their text alone, whatever their other columns; an empty table stays empty.
     """

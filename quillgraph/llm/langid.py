@@ -4,8 +4,9 @@ The families are told apart by linear support vector machines, one against the r
 family by one linear machine for each pair, which vote. Features are relative frequencies of hashed byte
 bigrams and trigrams of the whole lower-cased text, so that a text's decision values are sums over its bytes.
 
-Machines only tell the learned languages from one another. Whether a text is in one of them at all is a test of its own: the mean
-log-probability of its n-grams in each language, against what the learned documents of that language show at that length.
+Machines only tell the learned languages from one another. Whether a text is in the language that they tell is a further test: the mean
+log-probability of its n-grams in that language, against what the learned documents of that language show at that length. Where the machines hardly
+decide, the other languages that they leave open are tested too; one that they rule out never counts.
 
 Nulls, empty texts and texts without a letter are ``und`` with score 0, and so is every text where nothing
 could be learned (an empty table, no ``lang``). With one language learned, that one has score 1. Repeated
@@ -46,10 +47,12 @@ ORDERS = (2, 3)
 SCALE = 64.0
 #: At most about so many labelled documents are learned from, an equal share for each language.
 SAMPLE_DOCS = 1600
-#: ``accepted`` rejects a text whose n-grams are less usual in every language than the learned documents' by more than
+#: ``accepted`` rejects a text whose n-grams are less usual, in every language that the machines leave open, than the learned documents' by more than
 #: so many standard deviations at its length, or than ``SLACK`` times what all but a few of the learned documents show, if that is more.
 DEVIATIONS = 11.0
 SLACK = 1.5
+#: The machines leave a language open if they give it so much chance: its family's, times its own against the best of the family.
+OPEN = 0.05
 
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -157,11 +160,10 @@ class Usual:
     noise: np.ndarray
     limit: float
 
-    def below(self, texts: list) -> np.ndarray:
-        """How many standard deviations each text is less usual than learned documents, in the language in which it is least so."""
-        value = sums(texts, self.logs)
+    def below(self, texts: list, value: np.ndarray) -> np.ndarray:
+        """How many standard deviations each text is less usual than each language's learned documents; ``value``: its sums of ``logs``."""
         size = np.array([1 if t is None else max(1, len(t.encode("utf-8", "surrogatepass"))) for t in texts])
-        return np.stack([self._below(value[:, k], size, k) for k in range(len(self.codes))], 1).min(1) if texts else np.zeros(0)
+        return np.stack([self._below(value[:, k], size, k) for k in range(len(self.codes))], 1)
 
     def _below(self, value: np.ndarray, size: np.ndarray, at) -> np.ndarray:
         return (self.mean[at] - value) / np.sqrt(self.spread[at] + self.noise[at] / size)
@@ -199,34 +201,54 @@ class Model:
     usual: Usual | None = None
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
-        n = len(texts)
         if not self.families:
-            return ["und"] * n, np.zeros(n)
-        value = sums(texts, self.weights) + self.biases if self.machines else np.zeros((n, 0))
+            return ["und"] * len(texts), np.zeros(len(texts))
+        return self.decide(sums(texts, self.weights) if self.machines else np.zeros((len(texts), 0)))[:2]
+
+    def fits(self, texts: list) -> np.ndarray:
+        """Whether each text is as usual as learned documents in the language that the machines tell, or in another that they leave open."""
+        if not self.families or not texts:
+            return np.zeros(len(texts), bool)
+        m = len(self.machines)
+        value = sums(texts, np.concatenate([self.weights, self.usual.logs], 1) if m else self.usual.logs)  # n-grams are hashed once for both
+        return (self.decide(value[:, :m])[2] & (self.usual.below(texts, value[:, m:]) <= self.usual.limit)).any(1)
+
+    def decide(self, value: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each text's language and score, and whether it leaves each language open (a column for each, in order); ``value``: sums of ``weights``."""
+        n = len(value)
+        value = value + self.biases if self.machines else value
+        place = {c: i for i, c in enumerate(sorted(c for codes in self.languages.values() for c in codes))}
+        left_open = np.zeros((n, len(place)), bool)
         chance = 1 / (1 + np.exp(-np.clip(3 * value, -40, 40)))
         column = {m: i for i, m in enumerate(self.machines)}
         if len(self.families) > 1:
             each = np.stack([value[:, column[f, None, None]] for f in self.families], 1)
             family = each.argmax(1)
             soft = np.exp(3 * (each - each.max(1, keepdims=True)))
-            sure = soft.max(1) / soft.sum(1)
+            soft /= soft.sum(1, keepdims=True)
         else:
-            family, sure = np.zeros(n, np.int64), np.ones(n)
+            family, soft = np.zeros(n, np.int64), np.ones((n, 1))
         pred, score = np.empty(n, object), np.ones(n)
         for k, f in enumerate(self.families):
-            mine, codes = np.flatnonzero(family == k), self.languages[f]
+            mine, codes = np.flatnonzero((family == k) | (soft[:, k] >= OPEN)), self.languages[f]
             votes, trust = np.zeros((len(mine), len(codes))), np.zeros((len(mine), len(codes)))
+            against = np.ones((len(mine), len(codes), len(codes)))  # the chance of one language against another
             for (i, a), (j, b) in itertools.combinations(enumerate(codes), 2):
                 p = chance[mine, column[a, b, f]]
                 votes[:, i] += p >= 0.5
                 votes[:, j] += p < 0.5
                 trust[:, i] += p
                 trust[:, j] += 1 - p
-            best = (votes + trust / (len(codes) + 1)).argmax(1)
+                against[:, i, j], against[:, j, i] = p, 1 - p
+            row, best = np.arange(len(mine)), (votes + trust / (len(codes) + 1)).argmax(1)
+            left_open[np.ix_(mine, [place[c] for c in codes])] = soft[mine, k][:, None] * against[row, :, best] >= OPEN
+            told = family[mine] == k
+            mine, row, best = mine[told], row[told], best[told]
             pred[mine] = np.array(codes, object)[best]
+            left_open[mine, np.array([place[c] for c in codes])[best]] = True
             if len(codes) > 1:
-                score[mine] = trust[np.arange(len(mine)), best] / (len(codes) - 1)
-        return list(pred), np.clip(score * sure, 0, 1)
+                score[mine] = trust[row, best] / (len(codes) - 1)
+        return list(pred), np.clip(score * soft.max(1), 0, 1), left_open
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -304,18 +326,17 @@ def identified(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, all columns as they are, whose text has a letter and is in one of the learned languages.
+    """The rows, all columns as they are, whose text has a letter and is in the learned language that the machines tell.
 
     Null and empty texts and those without a letter go, as do all where nothing could be learned; a text whose n-grams are too unusual (see
-    ``DEVIATIONS``) goes. Rows are judged one by one, by ``text`` alone: repeated rows and null ids stay or go with their text.
+    ``DEVIATIONS``) in the language told, and in any other that the machines leave open (see ``OPEN``), goes. Rows are judged one by one, by ``text`` alone: repeated rows and null ids stay or go with their text.
     """
     letter = regex.compile(r"\p{L}")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_pieces(parts):
             texts = part.column("text").to_pylist()
-            far = model.usual.below(texts) > model.usual.limit if model.usual else np.ones(len(texts), bool)
-            keep = [t is not None and not f and letter.search(t) is not None for t, f in zip(texts, far, strict=True)]
+            keep = [bool(f) and t is not None and letter.search(t) is not None for t, f in zip(texts, model.fits(texts), strict=True)]
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,10 +3,11 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import mixing
+from quillgraph.llm import langid, mixing
 
 
 @pytest.fixture
@@ -50,3 +51,20 @@ def test_the_mix_reaches_the_shards(spark, folder, monkeypatch):
     after = run()
     assert {i for i, _, _ in after} == {i for i, _, _ in before} and after != before
     assert len(source) > len(before)
+
+
+def test_the_language_told_decides(spark, folder, monkeypatch):
+    """Machines that surely tell another language than a text's own reject it."""
+    fit, docs = langid.fit, spark.read.parquet(f"{folder}/documents.parquet")
+    stays = lambda: {r["doc_id"] for r in corpus_pipeline.language(spark, docs, folder).collect()}
+    other = docs.filter("doc_id < 200").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("el los que del por una con para cuando entre desde hasta " * 4).alias("text"), F.when(F.col("doc_id") % 2 == 0, "en").otherwise("es").alias("lang"), "source", "n_chars")
+    monkeypatch.setattr(langid, "fit", lambda _: fit(other))
+    assert stays() >= set(range(120))
+
+    def spanish(_):
+        model = fit(other)
+        model.biases = model.biases + np.array([-1000.0 if name[0] == "germanic" else 1000.0 for name in model.machines])
+        return model
+
+    monkeypatch.setattr(langid, "fit", spanish)
+    assert not stays() & set(range(120))

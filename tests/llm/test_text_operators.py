@@ -120,6 +120,31 @@ def test_language_families(spark):
     assert [r["doc_id"] for r in langid.accepted(docs(spark, [*foreign, words["en"] * 4, words["fr"] * 4]), model).collect()] == [23, 24]
 
 
+def test_machines_decide_what_is_accepted():
+    """A language that the family and pair machines rule out does not count, however usual the text is in it; one that they leave open does."""
+    words = {"en": "the and of to in that with for", "de": "der die und das nicht mit ein ist", "fr": "le la les des que dans pour est", "es": "el los que del por una con para"}
+    texts = {c: [" ".join((w.split() * 9)[i % 7 : i % 7 + 12 + i % 30]) for i in range(40)] for c, w in words.items()}
+    x, lang, size = [], [], []
+    for c, own in texts.items():
+        for t in own:
+            at, what = langid.frequencies(t)
+            row = np.zeros(langid.BUCKETS * len(langid.ORDERS), np.float32)
+            row[at] = what
+            x, lang, size = [*x, row], [*lang, c], [*size, len(t)]
+    machines = [("germanic", None, None), ("romance", None, None), ("de", "en", "germanic"), ("es", "fr", "romance")]
+    usual = langid.Usual.learned(sorted(words), np.array(x), np.array(lang, object), np.array(size))
+
+    def accepted(c, *biases):
+        """With machines that give every text the same values."""
+        model = langid.Model(["germanic", "romance"], {"germanic": ["de", "en"], "romance": ["es", "fr"]}, machines, np.zeros((x[0].size, 4)), np.array(biases, float), usual)
+        fits, (pred, score) = model.fits(texts[c]), model.predict(texts[c])
+        return fits.all() if fits[0] else fits.any(), pred[0], round(float(score[0]), 3)
+
+    assert accepted("en", 5, -5, -5, 0) == (True, "en", 1.0) and accepted("fr", -5, 5, 0, -5) == (True, "fr", 1.0)
+    assert accepted("en", -5, 5, -5, 5)[:2] == (False, "es") and accepted("en", 5, -5, 5, 0)[:2] == (False, "de")
+    assert accepted("en", -0.1, 0.1, -0.1, 0.1)[:2] == (True, "es") and accepted("en", 5, -5, 0.1, 0)[:2] == (True, "de")
+
+
 def test_language_odd_rows(spark):
     model = langid.fit(odd(spark))
     got = langid.identified(odd(spark), model, ["doc_id"]).collect()
